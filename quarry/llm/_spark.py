@@ -38,8 +38,8 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], to: str, salts:
     return ranked.join(sizes, on).withColumn(to, (F.col("_rank") + F.col("_before")).cast("long")).drop("_salt", "_rank", "_before", "_s", *[f"_k_{c}" for c in by])
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int) -> list[tuple[str, str]]:
-    """At most ``limit`` labelled (label, whole text) rows, evenly by label, chosen by a hash of the id.
+def label_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int, even: bool = True) -> list[tuple[str, str]]:
+    """At most ``limit`` labelled (label, whole text) rows, evenly by label or as their shares are, chosen by a hash of the id.
 
     Only this sample, used to fit a classifier, is bounded. Null ids, labels and texts are no training rows;
     of several rows of one id any may be taken.
@@ -49,9 +49,9 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int)
     per = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return []
-    each = max(1, limit // len(per))
     ids = None
     for name in sorted(per):
+        each = max(1, limit // len(per) if even else limit * per[name] // sum(per.values()))
         some = rows.where(F.col("label") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         ids = some if ids is None else ids.unionByName(some)
     chosen = {r["doc_id"]: r["label"] for r in ids.collect()}
