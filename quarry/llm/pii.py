@@ -29,7 +29,7 @@ from quarry.llm._text import as_strings, chunks, raw
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 FEATURES = 1 << 14
 ROUNDS = 30
-_TRIM_LEFT, _TRIM_RIGHT = b"\"'([{<`*_|", b"\"')]}>`*_|.,;:!?"
+_TRIM_LEFT, _TRIM_RIGHT = b"\"'([{<`*_|", b"\"')]}>`*_|.,;:!?#%$&"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _HINT = np.zeros(256, bool)
@@ -270,7 +270,7 @@ def training_set(n: int = 600, seed: int = 11) -> tuple[list[str], list[list[tup
         return [*[(c, "O") for c in cue], (f'"{key}"' if rng.random() < 0.7 else key, "SECRET")]
 
     def decoy() -> str:
-        return pick([num(4), num(2), num(1), f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}", f"{1900 + int(rng.integers(130))}-{num(2)}-{num(2)}", f"${num(2)},{num(3)}.00", f"{num(3)}%", f"{word()}{num(2)}", f"http://{word()}.com/{word()}/{num(3)}", f"@{word()}", f"{word()}@", f"commit {hexes(40)}", f"v{num(1)}.{num(2)}", f"#{num(5)}", f"{num(5)}", f"{num(6)}", f"{num(3)},{num(3)},{num(3)}", f"[{num(1)}]", f"({num(4)})", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(1)}.{num(2)}", f"999.{num(3)}.{num(3)}.{num(3)}9", f"{word()}-{num(2)}-{word()}", f"{num(3)}-{num(2)}", f"{num(2)}.{num(4)}", f"x{hexes(6)}"])
+        return pick([num(4), num(2), num(1), f"{num(1)}.{num(1)}.{num(1)}", f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}", f"{num(1)}.{num(2)}", f"{num(2)}.{num(1)}", f"{num(3)}.{num(2)}", f"({num(2)})", f"{num(3)}", f"{num(4)}-{num(4)}", f"{num(2)}:{num(2)}", f"{1900 + int(rng.integers(130))}-{num(2)}-{num(2)}", f"${num(2)},{num(3)}.00", f"{num(3)}%", f"{word()}{num(2)}", f"http://{word()}.com/{word()}/{num(3)}", f"@{word()}", f"{word()}@", f"commit {hexes(40)}", f"v{num(1)}.{num(2)}", f"#{num(5)}", f"{num(5)}", f"{num(6)}", f"{num(3)},{num(3)},{num(3)}", f"[{num(1)}]", f"({num(4)})", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(1)}.{num(2)}", f"999.{num(3)}.{num(3)}.{num(3)}9", f"{word()}-{num(2)}-{word()}", f"{num(3)}-{num(2)}", f"{num(2)}.{num(4)}", f"x{hexes(6)}"])
 
     texts, spans = [], []
     for _ in range(n):

@@ -25,7 +25,7 @@ from quarry.llm._spark import label_sample
 from quarry.llm._subword import SubwordSoftmax, fit
 
 MAX_TRAIN_DOCS = 4000
-WINDOW = 8
+WINDOW = 2
 THRESHOLD = 0.8
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
