@@ -3,14 +3,16 @@
 A text is the set of its normalised word n-grams. Two sets of Jaccard similarity t or more share a
 token among the first ``s - ceil(t s) + 1`` of either under *any* order of all tokens, so a candidate
 must share a prefix token under each of two orders, and only the intersection is verified, exactly.
-Both orders put rare tokens first, by exact document frequencies over the whole corpus: order 0 by
-(frequency, hash), order 1 by (binary logarithm of frequency, another hash). A token of one document
+Both orders put rare tokens first, by exact frequencies over the whole corpus: order 0 by
+(frequency, hash), order 1 by (binary logarithm of frequency, another hash). A token of one set
 alone can't be shared; it only uses up prefix, which leaves most unrelated documents without any
 prefix token to look up.
 
-Tokens travel as sorted binary columns, a row a batch and token range, not as a row each.
+Tokens travel as sorted binary columns, a row a batch and token range, not as a row each. Documents
+of one set are one set throughout, named by 64 bits that its tokens give (of n sets two are confused with a
+chance of n^2 / 2^65); frequencies count distinct sets.
 
-Tokens in more than ``hot_df`` documents are a special case: of those in a prefix, a document offers the
+Tokens in more than ``hot_df`` sets are a special case: of those in a prefix, a set offers the
 ``hot_keep`` least by hash, a bottom-k sketch. A pair that only shares such tokens is missed with a chance
 of about (1 - J)^hot_keep; everything else is exact.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._graph import components
-from quarry.llm._spark import checkpoint
+from quarry.llm._spark import checkpoint, release
 from quarry.llm._text import Words, chunks, distinct, mix, shingles
 
 N = 3
@@ -45,12 +47,51 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _pack(token: np.ndarray) -> bytes:
+    """48-bit tokens as 6 bytes each: all high words, then all low ones."""
+    return _bytes((token >> np.uint64(16)).astype(np.uint32)) + _bytes(token.astype(np.uint16))
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return (np.frombuffer(packed, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(packed, np.uint16, n, 4 * n)
+
+
 def _parts(token: np.ndarray, parts: int) -> np.ndarray:
     return ((token >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
+def _set_ids(token: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The id and size of each row's set: 64 bits that any order of its tokens gives."""
+    size = np.bincount(owner, minlength=rows)
+    total = np.zeros(rows, np.uint64)
+    if len(token):
+        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        total[owner[begin]] = np.add.reduceat(mix(token ^ _SALT), begin)
+    return mix(total + size.astype(np.uint64)).view(np.int64), size.astype(np.uint32)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def _classes(docs: DataFrame, n: int) -> DataFrame:
+    """set_id, size, doc_ids: the documents of each distinct set."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, piece in chunks(b.column("text")):
+                token, owner, _ = distinct(*shingles(Words(piece), n))
+                set_id, size = _set_ids(token, owner, len(piece))
+                has = size > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(piece)][has]), pa.array(set_id[has]), pa.array(size[has].astype(np.int64))], ["doc_id", "set_id", "size"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, set_id long, size long").groupBy("set_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
 def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """A row per batch and token range: 6 bytes of each token, its document's place, and the documents."""
+    """A row per batch and token range: 6 bytes of each token, its set's place in the batch, and the sets."""
 
     def flush(held):
         token, place, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -58,33 +99,41 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
         order = np.lexsort((token, part))
         token, place = token[order], place[order]
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, _bytes((token[a:b] >> np.uint64(32)).astype(np.uint32)), _bytes((token[a:b] >> np.uint64(16)).astype(np.uint16)), _bytes(place[a:b].astype(np.uint16)), _bytes(ids), _bytes(sizes)) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        rows = []
+        for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                used, where = np.unique(place[a:b], return_inverse=True)
+                rows.append((p, _bytes((token[a:b] >> np.uint64(32)).astype(np.uint32)), _bytes((token[a:b] >> np.uint64(16)).astype(np.uint16)), _bytes(where.astype(np.uint16)), _bytes(ids[used]), _bytes(sizes[used])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "high", "low", "place", "ids", "sizes"])
 
     def run(batches):
-        held, tokens, docs_held = [], 0, 0
+        held, tokens, sets = [], 0, 0
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, piece in chunks(b.column("text")):
+            for _, piece in chunks(b.column("text")):
                 for to in range(0, len(piece), 32768):
                     some = piece.slice(to, 32768)
                     token, owner, _ = distinct(*shingles(Words(some), n))
                     if not len(token):
                         continue
-                    if docs_held + len(some) > 65536 or tokens > FLUSH_TOKENS:
+                    own, size = _set_ids(token, owner, len(some))
+                    # of equal sets in one chunk, one is posted
+                    _, first = np.unique(own, return_index=True)
+                    lead = np.zeros(len(own), bool)
+                    lead[first] = True
+                    keep = lead[owner]
+                    if sets + len(some) > 65536 or tokens > FLUSH_TOKENS:
                         yield flush(held)
-                        held, tokens, docs_held = [], 0, 0
-                    own = ids[at + to : at + to + len(some)]
-                    held.append((token, owner + docs_held, own, np.bincount(owner, minlength=len(own)).astype(np.uint32)))
-                    tokens, docs_held = tokens + len(token), docs_held + len(own)
+                        held, tokens, sets = [], 0, 0
+                    held.append((token[keep], owner[keep] + sets, own, size))
+                    tokens, sets = tokens + int(keep.sum()), sets + len(own)
         if held:
             yield flush(held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "part int, high binary, low binary, place binary, ids binary, sizes binary")
+    return _texts(docs).mapInArrow(run, "part int, high binary, low binary, place binary, ids binary, sizes binary")
 
 
 def _shared(posts: DataFrame, parts: int) -> DataFrame:
-    """Postings of tokens in two documents or more, regrouped by document: a row per token range and document range."""
+    """Postings of tokens in two distinct sets or more, regrouped by set: a row per token range and range of sets."""
 
     def run(key, rows):
         part = key[0].as_py()
@@ -97,11 +146,21 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
         token, ids, sizes = np.concatenate(token), np.concatenate(ids), np.concatenate(sizes)
         order = np.argsort(token, kind="stable")
         token, ids, sizes = token[order], ids[order], sizes[order]
-        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        df = np.repeat(np.diff(np.append(begin, len(token))), np.diff(np.append(begin, len(token))))
+        several = np.zeros(len(token), bool)
+        same = token[1:] == token[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        token, ids, sizes = token[several], ids[several], sizes[several]
+        order = np.lexsort((ids, token))
+        token, ids, sizes = token[order], ids[order], sizes[order]
+        once = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]))[: len(token)]
+        token, ids, sizes = token[once], ids[once], sizes[once]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+        times = np.diff(np.append(begin, len(token)))
+        df = np.repeat(times, times)
         keep = df > 1
         token, ids, sizes, df = token[keep], ids[keep], sizes[keep], np.minimum(df[keep], 65535).astype(np.uint16)
-        bucket = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        bucket = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((ids, bucket))
         token, ids, sizes, df, bucket = token[order], ids[order], sizes[order], df[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(parts + 1))
@@ -109,45 +168,37 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
         for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
             if b > a:
                 head = a + np.flatnonzero(np.append(True, ids[a + 1 : b] != ids[a : b - 1]))
-                out.append((p, part, _bytes(ids[head]), _bytes(sizes[head]), _bytes(np.diff(np.append(head, b)).astype(np.uint32)), _bytes((token[a:b] >> np.uint64(16)).astype(np.uint32)), _bytes(token[a:b].astype(np.uint16)), _bytes(df[a:b])))
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "part", "ids", "sizes", "counts", "high", "low", "df"])
+                out.append((p, part, _bytes(ids[head]), _bytes(sizes[head]), _bytes(np.diff(np.append(head, b)).astype(np.uint32)), _pack(token[a:b]), _bytes(df[a:b])))
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "part", "ids", "sizes", "counts", "tokens", "df"])
 
-    return posts.groupBy("part").applyInArrow(run, "bucket int, part int, ids binary, sizes binary, counts binary, high binary, low binary, df binary")
+    return posts.groupBy("part").applyInArrow(run, "bucket int, part int, ids binary, sizes binary, counts binary, tokens binary, df binary")
 
 
 def _sets(shared: DataFrame, threshold: float) -> DataFrame:
-    """Documents that can have a partner: size of the set, its shared tokens (sorted) and their frequencies; sig is equal for equal sets alone."""
+    """Sets that can have a partner: size, shared tokens (sorted, 6 bytes each) and their frequencies."""
 
     def run(_, rows):
         ids, sizes, token, df = [], [], [], []
-        for own, size, count, high, low, freq in zip(*(rows.column(c).to_pylist() for c in ("ids", "sizes", "counts", "high", "low", "df")), strict=True):
+        for own, size, count, packed, freq in zip(*(rows.column(c).to_pylist() for c in ("ids", "sizes", "counts", "tokens", "df")), strict=True):
             times = np.frombuffer(count, np.uint32)
             ids.append(np.repeat(np.frombuffer(own, np.int64), times))
             sizes.append(np.repeat(np.frombuffer(size, np.uint32), times))
-            token.append((np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(low, np.uint16))
+            token.append(_unpack(packed))
             df.append(np.frombuffer(freq, np.uint16))
         ids, sizes, token, df = (np.concatenate(x) for x in (ids, sizes, token, df))
         order = np.lexsort((token, ids))
         ids, sizes, token, df = ids[order], sizes[order], token[order], df[order]
         begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        end = np.append(begin[1:], len(ids))
         out = []
-        for a, b in zip(begin, end, strict=True):
-            # one id on several rows: its tokens come once a row, and it is read as one set of each token once
-            mine, freq = token[a:b], df[a:b]
+        for a, b in zip(begin, np.append(begin[1:], len(ids)), strict=True):
             s = int(sizes[a])
-            if b - a > s or (b - a > 1 and (mine[1:] == mine[:-1]).any()):
-                at = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-                mine, freq = mine[at], freq[at]
-                s = max(s, len(mine))
-            if s - len(mine) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
-                sig = f"{s}:{int(mix(mine).sum()):x}:{int(mix(mine ^ _SALT).sum()):x}" if len(mine) == s else f"id{int(ids[a])}"
-                out.append((sig, int(ids[a]), s, _bytes(mine), _bytes(freq)))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["sig", "doc_id", "size", "tokens", "df"])
+            if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
+                out.append((int(ids[a]), s, _pack(token[a:b]), _bytes(df[a:b])))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["set_id", "size", "tokens", "df"])
 
-    return shared.groupBy("bucket").applyInArrow(run, "sig string, doc_id long, size int, tokens binary, df binary")
+    return shared.groupBy("bucket").applyInArrow(run, "set_id long, size int, tokens binary, df binary")
 
 
 def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order: int, hot_df: int = HOT_DF, hot_keep: int = HOT_KEEP) -> np.ndarray:
@@ -165,9 +216,9 @@ def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order
 def _offers(sets: DataFrame, threshold: float, parts: int, hot_df: int, hot_keep: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            size, rep = b.column("size").to_numpy(), b.column("doc_id").to_numpy()
+            size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
             for order in (0, 1):
-                got = [prefix(int(s), np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint16), threshold, order, hot_df, hot_keep) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
+                got = [prefix(int(s), _unpack(t), np.frombuffer(f, np.uint16), threshold, order, hot_df, hot_keep) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
                 if not got:
                     continue
                 times = [len(g) for g in got]
@@ -179,7 +230,7 @@ def _offers(sets: DataFrame, threshold: float, parts: int, hot_df: int, hot_keep
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["ordering", "part", "token", "ids", "sizes"])
 
-    return sets.select("doc_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, token binary, ids binary, sizes binary")
+    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, token binary, ids binary, sizes binary")
 
 
 def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float, most: int = 4_000_000):
@@ -233,7 +284,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep, shared = [], []
             left = right = None
             for k, (sa, ta, sb, tb) in enumerate(zip(*(b.column(c).to_pylist() for c in ("sa", "ta", "sb", "tb")), strict=True)):
-                left, right = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+                left, right = _unpack(ta), _unpack(tb)
                 if min(len(left), len(right)) * (1 + threshold) < threshold * (sa + sb) - 1e-9:
                     continue
                 both = np.concatenate([left, right])
@@ -247,33 +298,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             union = some.column("sa").to_numpy().astype(np.int64) + some.column("sb").to_numpy() - n
             yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(n), pa.array(n / np.maximum(1, union))], ["a", "b", "shared", "jaccard"])
 
-    a = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb"))
+    a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta"))
+    b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb"))
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, shared long, jaccard double")
 
 
-def _search(docs: DataFrame, n: int, threshold: float, hot_df: int, hot_keep: int) -> tuple[DataFrame, DataFrame]:
+def _similar(docs: DataFrame, n: int, threshold: float, hot_df: int, hot_keep: int) -> DataFrame:
+    """a, b, shared, jaccard: pairs of distinct sets, by set id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = _sets(_shared(_post(docs, n, parts), parts), threshold)
-    classes = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("df").alias("df")).drop("sig")
-    classes = checkpoint(classes)
-    pairs = _candidates(_offers(classes, threshold, parts, hot_df, hot_keep), threshold)
-    return classes, _verified(pairs, classes, threshold)
+    sets = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
+    release(docs.sparkSession)
+    pairs = checkpoint(_candidates(_offers(sets, threshold, parts, hot_df, hot_keep), threshold))
+    release(docs.sparkSession)
+    return _verified(pairs, sets, threshold)
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_df: int = HOT_DF, hot_keep: int = HOT_KEEP) -> DataFrame:
     """doc_ids_a, doc_ids_b, shared, jaccard: every pair of distinct n-gram sets, each with all its documents, and every set that several documents have, with itself."""
-    classes, pairs = _search(docs, n, threshold, hot_df, hot_keep)
-    lists = classes.select("doc_id", "doc_ids")
-    near = pairs.join(lists.select(F.col("doc_id").alias("a"), F.col("doc_ids").alias("doc_ids_a")), "a").join(lists.select(F.col("doc_id").alias("b"), F.col("doc_ids").alias("doc_ids_b")), "b")
-    same = classes.where(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.col("size").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"))
-    return near.select("doc_ids_a", "doc_ids_b", "shared", "jaccard").unionByName(same)
+    pairs = checkpoint(_similar(docs, n, threshold, hot_df, hot_keep))
+    release(docs.sparkSession)
+    classes = checkpoint(_classes(docs, n))
+    a, b = (classes.select(F.col("set_id").alias(s), F.col("doc_ids").alias(f"doc_ids_{s}")) for s in "ab")
+    same = classes.where(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return pairs.join(a, "a").join(b, "b").select("doc_ids_a", "doc_ids_b", "shared", "jaccard").unionByName(same)
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the least doc_id alone of each group that similar pairs connect; rows that pair with nothing stay."""
-    classes, pairs = _search(docs, n, threshold, HOT_DF, HOT_KEEP)
-    group = components(pairs.select("a", "b"))
-    lead = classes.select("doc_id", F.explode("doc_ids").alias("member")).join(group.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    gone = lead.where(F.col("member") != F.coalesce("component", "doc_id")).select(F.col("member").alias("_gone")).distinct()
+    """``docs`` with the least doc_id alone of each group that similar pairs connect; rows that pair with nothing stay. Rows of one doc_id stay or go together."""
+    group = components(_similar(docs, n, threshold, HOT_DF, HOT_KEEP).select("a", "b"))
+    release(docs.sparkSession)
+    classes = _classes(docs, n).select("set_id", "doc_ids").join(group.select(F.col("node").alias("set_id"), "component"), "set_id", "left").where(F.col("component").isNotNull() | (F.size("doc_ids") > 1))
+    classes = checkpoint(classes.select(F.coalesce("component", "set_id").alias("component"), "doc_ids"))
+    lead = classes.groupBy("component").agg(F.min(F.element_at("doc_ids", 1)).alias("lead"))
+    gone = classes.join(lead, "component").select(F.explode("doc_ids").alias("_gone"), "lead").where("_gone <> lead").select("_gone").distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
