@@ -96,8 +96,8 @@ def matches(node: Node, selector: str) -> bool:
 
 
 def content(root: Node, selectors=CONTENT, skip=SKIP) -> Node | None:
-    """The first selector's first match, else the body, without what ``skip`` selects; the tree itself loses that, too."""
-    found = next((n for s in (*selectors, "body") for n in root.walk() if n.tag and matches(n, s)), None)
+    """The first selector's first match, else the body, or all where the page names none, without what ``skip`` selects; the tree itself loses that, too."""
+    found = next((n for s in (*selectors, "body") for n in root.walk() if n.tag and matches(n, s)), root if root.children else None)
     if found is not None:
         for n in found.walk():
             n.children = [c for c in n.children if isinstance(c, str) or not any(matches(c, s) for s in skip)]
