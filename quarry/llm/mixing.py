@@ -80,12 +80,16 @@ def fit(rows: list[tuple[str, str]], epochs: int = 12, rate: float = 0.5, batch:
     if len(domains) < 2:
         return DomainModel(domains or ["all"], np.zeros((BUCKETS, 1)), np.zeros(1))
     y = np.array([domains.index(d) for d, _ in rows])
-    col, row, val = _features(pa.array([t for _, t in rows], pa.string()))
-    order = np.lexsort((col, row))
-    col, row, val = col[order], row[order], val[order]
-    new = np.flatnonzero(np.append(True, (col[1:] != col[:-1]) | (row[1:] != row[:-1])))
-    col, row, val = col[new], row[new], np.add.reduceat(val, new)
-    ptr = np.searchsorted(row, np.arange(len(rows) + 1))
+    cols, vals, sizes = [], [], []
+    for _, part in chunks(pa.array([t for _, t in rows], pa.string())):  # a chunk at a time: the driver never holds all words
+        c, r, v = _features(part)
+        order = np.lexsort((c, r))
+        c, r, v = c[order], r[order], v[order]
+        new = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])))
+        cols.append(c[new].astype(np.int32))
+        vals.append(np.add.reduceat(v, new).astype(np.float32))
+        sizes.append(np.bincount(r[new], minlength=len(part)))
+    col, val, ptr = np.concatenate(cols), np.concatenate(vals), np.append(0, np.cumsum(np.concatenate(sizes)))
     w, seen = np.zeros((BUCKETS, len(domains))), np.full((BUCKETS, len(domains)), 1e-4)
     bias, seen_b = np.log(np.bincount(y, minlength=len(domains)) / len(y)), np.full(len(domains), 1e-2)
     rng = np.random.default_rng(seed)

@@ -36,13 +36,13 @@ def fit_windows(rows: list[tuple[str, str]], width: int = WINDOW, rounds: int =
     if len(model.classes) < 2:
         return model
     rng = np.random.default_rng(seed)
-    cut = [[w for w, _ in groupby(_WORD.findall(t.lower()))] for _, t in rows]
     column = pa.array([t for _, t in rows], pa.string())
     hard: list[tuple[str, str]] = []
     for _ in range(rounds):
         _, place = model.margins(column, width)
         random = []
-        for (y, _), words, p in zip(rows, cut, place, strict=True):
+        for (y, t), p in zip(rows, place, strict=True):
+            words = [w for w, _ in groupby(_WORD.findall(t.lower()))]  # again each round: the driver never holds all words
             if not words:
                 continue
             hard.append((y, " ".join(words[p : p + width])))
