@@ -12,9 +12,10 @@ Tokens travel as sorted binary columns, a row a batch and token range, not as a
 of one set are one set throughout, named by 64 bits that its tokens give (of n sets two are confused with a
 chance of n^2 / 2^65); frequencies count distinct sets.
 
-Tokens in more than ``hot_df`` sets are a special case: of those in a prefix, a set offers the
-``hot_keep`` least by hash, a bottom-k sketch. A pair that only shares such tokens is missed with a chance
-of about (1 - J)^hot_keep; everything else is exact.
+A pair needs to be met only at its first common token, so it is passed over at a token whose places in the two
+sets leave too few tokens after it, were it the first. At tokens in more than ``hot_df`` sets, which near copies
+share by the hundred, a set also shows ``MARKS`` of the prefix tokens before this one: the last, and the least under some
+hashes. Where two sets show the same mark they met before, and aren't paired again. No token is left out.
 
 Defined results: null and empty texts, and texts without words, have no n-grams and pair with nothing; a text of
 fewer than n words is one gram; rows of equal n-gram sets form a class, listed once with itself at 1.0; rows of
@@ -38,7 +39,7 @@ from quarry.llm._text import Words, chunks, distinct, mix, shingles
 N = 3
 THRESHOLD = 0.6
 HOT_DF = 512
-HOT_KEEP = 16
+MARKS = 4
 FLUSH_TOKENS = 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -201,42 +202,66 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
     return shared.groupBy("bucket").applyInArrow(run, "set_id long, size int, tokens binary, df binary")
 
 
-def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order: int, hot_df: int = HOT_DF, hot_keep: int = HOT_KEEP) -> np.ndarray:
-    """The tokens, of those in two documents or more, in a set's prefix under one of the two orders."""
-    room = size - int(np.ceil(threshold * size - 1e-9)) + 1 - (size - len(token))
+def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens, of those in two documents or more, in a set's prefix under one of the two orders; their frequencies; their places among all of its tokens."""
+    alone = size - len(token)
+    room = size - int(np.ceil(threshold * size - 1e-9)) + 1 - alone
     h = mix(token ^ _SALT) if order else token
     rank = np.lexsort((h, np.floor(np.log2(df)) if order else df))[: max(0, room)]
-    hot = df[rank] > hot_df
-    if hot.sum() > hot_keep:
-        some = rank[hot]
-        rank = np.concatenate([rank[~hot], some[np.argsort(h[some], kind="stable")[:hot_keep]]])
-    return token[rank]
+    return token[rank], df[rank], alone + np.arange(len(rank))
 
 
-def _offers(sets: DataFrame, threshold: float, parts: int, hot_df: int, hot_keep: int) -> DataFrame:
+def marks(token: np.ndarray) -> np.ndarray:
+    """(tokens, MARKS): of the tokens before each one the last, and the least under some hashes; 0 where there is none."""
+    out = np.zeros((len(token), MARKS), np.uint64)
+    if len(token) > 1:
+        out[1:, 0] = mix(token[:-1])
+        for k in range(1, MARKS):
+            out[1:, k] = np.minimum.accumulate(mix(token[:-1] + np.uint64(k << 48)))
+    return out
+
+
+def _offers(sets: DataFrame, threshold: float, parts: int, hot_df: int) -> DataFrame:
+    """A row a batch, order, token range, and hot tokens or others; only hot ones have marks."""
+
     def run(batches):
         for b in batches:
             size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
             for order in (0, 1):
-                got = [prefix(int(s), _unpack(t), np.frombuffer(f, np.uint16), threshold, order, hot_df, hot_keep) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
+                got = []
+                for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True):
+                    token, df, place = prefix(int(s), _unpack(t), np.frombuffer(f, np.uint16), threshold, order)
+                    hot = df > hot_df
+                    got.append((token, place, hot, marks(token)[hot] if hot.any() else np.zeros((0, MARKS), np.uint64)))
                 if not got:
                     continue
-                times = [len(g) for g in got]
-                token, ids, sizes = np.concatenate(got), np.repeat(rep, times), np.repeat(size, times)
-                part = (mix(token) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[by], np.arange(parts + 1))
-                rows = [(order, p, _bytes(token[by[a:e]]), _bytes(ids[by[a:e]]), _bytes(sizes[by[a:e]].astype(np.uint32))) for p, (a, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > a]
+                times = [len(g[0]) for g in got]
+                token, place, hot, mark = (np.concatenate(x) for x in zip(*got, strict=True))
+                ids, sizes = np.repeat(rep, times), np.repeat(size, times)
+                rows = []
+                for some in (False, True):
+                    at = np.flatnonzero(hot == some)
+                    part = (mix(token[at]) % np.uint64(parts)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    ends = np.searchsorted(part[by], np.arange(parts + 1))
+                    for p, (a, e) in enumerate(zip(ends, ends[1:], strict=False)):
+                        if e > a:
+                            k = at[by[a:e]]
+                            rows.append((order, p, some, _bytes(token[k]), _bytes(ids[k]), _bytes(sizes[k].astype(np.uint32)), _bytes(place[k].astype(np.uint32)), _bytes(mark[by[a:e]]) if some else b""))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["ordering", "part", "token", "ids", "sizes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], ["ordering", "part", "hot", "token", "ids", "sizes", "places", "marks"])
+
+    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, ids binary, sizes binary, places binary, marks binary")
 
-    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, token binary, ids binary, sizes binary")
 
+def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, mark: np.ndarray, threshold: float, most: int = 1_000_000):
+    """Yields arrays (a, b), a < b, of rows of one token whose sizes and places allow ``threshold`` and that show no mark in common; within one yield, distinct.
 
-def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float, most: int = 4_000_000):
-    """Yields arrays (a, b), a < b, of rows of one token whose sizes allow ``threshold``; within one yield, distinct."""
+    ``mark``: (rows, MARKS), or (0, MARKS) for tokens without.
+    """
     order = np.lexsort((sizes, token))
-    token, ids, sizes = token[order], ids[order], sizes[order]
+    token, ids, sizes, places = token[order], ids[order], sizes[order], places[order]
+    mark = np.ascontiguousarray(mark[order].T) if len(mark) else mark.T
     begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     end = np.repeat(np.append(begin[1:], len(token)), np.diff(np.append(begin, len(token))))
     # sizes rise within a token, so a row's partners are a stretch after it that ends where sizes are too large
@@ -245,19 +270,27 @@ def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, thresho
         reach[a:b] = a + np.searchsorted(sizes[a:b], np.floor(sizes[a:b] / threshold + 1e-9), side="right") if b - a > 1 else b
     count = np.maximum(0, np.minimum(end, reach) - np.arange(len(token)) - 1)
     total = np.cumsum(count)
+    left_over = (sizes.astype(np.int64) - places).astype(np.float64) * (1 + threshold)
+    need = threshold * sizes
     at = 0
     while at < len(count):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
         n = count[at:to]
         left = np.repeat(np.arange(at, to), n)
         right = left + 1 + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        for row in mark if mark.size else ():
+            met = row[left]
+            new = (met != row[right]) | (met == 0)
+            left, right = left[new], right[new]
+        new = np.minimum(left_over[left], left_over[right]) >= need[left] + need[right] - 1e-6
+        left, right = left[new], right[new]
         a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
         if len(a):
             by = np.lexsort((b, a))
             a, b = a[by], b[by]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) & (a != b)
             yield a[new], b[new]
-        at = to
 
 
 def _candidates(offers: DataFrame, threshold: float) -> DataFrame:
@@ -265,16 +298,16 @@ def _candidates(offers: DataFrame, threshold: float) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = key[0].as_py()
-        token, ids, sizes = [], [], []
+        kinds = {"token": np.uint64, "ids": np.int64, "sizes": np.uint32, "places": np.uint32, "marks": np.uint64}
+        held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for b in batches:
-            for t, i, s in zip(*(b.column(c).to_pylist() for c in ("token", "ids", "sizes")), strict=True):
-                token.append(np.frombuffer(t, np.uint64))
-                ids.append(np.frombuffer(i, np.int64))
-                sizes.append(np.frombuffer(s, np.uint32))
-        for a, b in runs_to_pairs(np.concatenate(token), np.concatenate(ids), np.concatenate(sizes), threshold):
+            for c, kind in kinds.items():
+                held[c] += [np.frombuffer(x, kind) for x in b.column(c).to_pylist()]
+        token, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
+        for a, b in runs_to_pairs(token, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 << order, np.int32))], ["a", "b", "seen"])
 
-    pairs = offers.groupBy("ordering", "part").applyInArrow(run, "a long, b long, seen int")
+    pairs = offers.groupBy("ordering", "part", "hot").applyInArrow(run, "a long, b long, seen int")
     return pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).where("seen = 3").select("a", "b")
 
 
@@ -303,19 +336,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, shared long, jaccard double")
 
 
-def _similar(docs: DataFrame, n: int, threshold: float, hot_df: int, hot_keep: int) -> DataFrame:
+def _similar(docs: DataFrame, n: int, threshold: float, hot_df: int) -> DataFrame:
     """a, b, shared, jaccard: pairs of distinct sets, by set id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
     release(docs.sparkSession)
-    pairs = checkpoint(_candidates(_offers(sets, threshold, parts, hot_df, hot_keep), threshold))
+    pairs = checkpoint(_candidates(_offers(sets, threshold, parts, hot_df), threshold))
     release(docs.sparkSession)
     return _verified(pairs, sets, threshold)
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_df: int = HOT_DF, hot_keep: int = HOT_KEEP) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_df: int = HOT_DF) -> DataFrame:
     """doc_ids_a, doc_ids_b, shared, jaccard: every pair of distinct n-gram sets, each with all its documents, and every set that several documents have, with itself."""
-    pairs = checkpoint(_similar(docs, n, threshold, hot_df, hot_keep))
+    pairs = checkpoint(_similar(docs, n, threshold, hot_df))
     release(docs.sparkSession)
     classes = checkpoint(_classes(docs, n))
     a, b = (classes.select(F.col("set_id").alias(s), F.col("doc_ids").alias(f"doc_ids_{s}")) for s in "ab")
@@ -325,7 +358,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_df: int
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the least doc_id alone of each group that similar pairs connect; rows that pair with nothing stay. Rows of one doc_id stay or go together."""
-    group = components(_similar(docs, n, threshold, HOT_DF, HOT_KEEP).select("a", "b"))
+    group = components(_similar(docs, n, threshold, HOT_DF).select("a", "b"))
     release(docs.sparkSession)
     classes = _classes(docs, n).select("set_id", "doc_ids").join(group.select(F.col("node").alias("set_id"), "component"), "set_id", "left").where(F.col("component").isNotNull() | (F.size("doc_ids") > 1))
     classes = checkpoint(classes.select(F.coalesce("component", "set_id").alias("component"), "doc_ids"))

@@ -385,6 +385,20 @@ def test_hot_tokens_lose_little(spark):
     assert ngram_jaccard.join(df, hot_df=5).count() >= 0.98 * want
 
 
+def test_hot_tokens_lose_nothing(spark):
+    """A passage against the same passage and a rarer, but also hot one: the prefixes share few tokens, all of them hot."""
+    docs = []
+    for g in range(6):
+        first, second = ([f"w{g}x{k}y{p}" for k in range(n)] for p, n in enumerate((100, 56)))
+        texts = [first + (second if k % 2 else []) for k in range(24)] + [first[5 * k :] for k in range(1, 12)]  # the passage's beginning is rarer than its end
+        docs += [" ".join([*w, f"n{g}x{k}"]) for k, w in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = word_sets(df.collect())
+    want = {tuple(sorted(x + y)) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(a & b) >= 0.6 * len(a | b) - 1e-9}
+    got = {tuple(sorted(r.doc_ids_a + r.doc_ids_b)) for r in ngram_jaccard.join(df, hot_df=5).collect()}
+    assert len(want) > 6 * 12 * 12 and got == want
+
+
 def test_simhash_equals_sql_and_brute_force(spark):
     import duckdb
 
