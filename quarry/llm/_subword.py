@@ -40,9 +40,9 @@ class SubwordSoftmax:
         return out
 
     def margins(self, column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For a model of two classes: the greatest log-odds of class 1 over a row's windows of ``width`` words, and where that window begins.
+        """For a model of two classes: the greatest log-odds of class 1 over all runs of ``width`` words of a row, one from each word on, and where that window begins.
 
-        A run of one word repeated counts as one word, here and in where a window begins. A row without words has minus infinity.
+        A run of one word repeated counts as one word, here and in where a window begins. A row of fewer words is one window; a row without words has minus infinity.
         """
         best, place = np.full(len(column), -np.inf), np.zeros(len(column), np.int64)
         odds, bias = self.folded[:, 1] - self.folded[:, 0], self.bias[1] - self.bias[0]
@@ -56,8 +56,14 @@ class SubwordSoftmax:
             word, rows = (np.bincount(owner, weights=odds[bucket]) / np.bincount(owner))[which[kept]], words.row[kept]
             n = np.bincount(rows, minlength=len(part))
             spot = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.flatnonzero(spot % width == 0)
-            mean = np.add.reduceat(word, begin) / np.diff(np.append(begin, len(word))) + bias
+            size = np.minimum(width, n[rows])
+            begin = np.flatnonzero(spot + size <= n[rows])
+            size = size[begin]
+            mean = word[begin]
+            for k in range(1, width):
+                more = size > k
+                mean[more] += word[begin[more] + k]
+            mean = mean / size + bias
             order = np.lexsort((-mean, rows[begin]))
             row, first = np.unique(rows[begin][order], return_index=True)
             best[at + row], place[at + row] = mean[order[first]], spot[begin[order[first]]]

@@ -3,7 +3,7 @@
 Misspelt and unseen words share the vectors of their character n-grams. The model is fitted on
 the driver from at most ``max_train_docs`` labelled rows: first on whole texts, then, since a few
 words make a text toxic, on the window of each text that the model so far finds worst. A text is
-as toxic as the worst of its windows, which together cover all of it.
+as toxic as the worst of its windows, which begin at every word.
 
 Defined results: null or empty text, or one without words, scores 0 and is kept; a null doc_id is scored
 as any row; repeated rows are each scored alike; without labels of both classes nothing is rejected; an
@@ -31,24 +31,28 @@ _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
 def fit_windows(rows: list[tuple[str, str]], width: int = WINDOW, rounds: int = 3, seed: int = 7) -> SubwordSoftmax:
-    """``rows``: (label '0' or '1', text). Windows: of each text the worst one so far; of clean texts two others as well."""
+    """``rows``: (label '0' or '1', text). Windows: of each text the worst one so far, of clean texts also those of the rounds before and two others.
+
+    Labels are noisy: after the first round a toxic text whose worst window is under even odds sits that round out.
+    """
     model = fit(rows, dim=4, epochs=3, rate=1.0, seed=seed)
     if len(model.classes) < 2:
         return model
     rng = np.random.default_rng(seed)
     column = pa.array([t for _, t in rows], pa.string())
     hard: list[tuple[str, str]] = []
-    for _ in range(rounds):
-        _, place = model.margins(column, width)
-        random = []
-        for (y, t), p in zip(rows, place, strict=True):
+    for turn in range(rounds):
+        best, place = model.margins(column, width)
+        toxic, random = [], []
+        for (y, t), p, odds in zip(rows, place, best, strict=True):
             words = [w for w, _ in groupby(_WORD.findall(t.lower()))]  # again each round: the driver never holds all words
             if not words:
                 continue
-            hard.append((y, " ".join(words[p : p + width])))
+            if y == "0" or not turn or odds >= 0:
+                (toxic if y == "1" else hard).append((y, " ".join(words[p : p + width])))
             if y == "0":
-                random += [(y, " ".join(words[q : q + width])) for q in rng.integers(0, len(words), 2)]
-        model = fit(hard + random, dim=4, epochs=4, rate=1.0, seed=seed)
+                random += [(y, " ".join(words[q : q + width])) for q in rng.integers(0, max(1, len(words) - width + 1), 2)]
+        model = fit(hard + toxic + random, dim=4, epochs=4, rate=1.0, seed=seed)
     return model
 
 

@@ -118,6 +118,17 @@ def test_toxicity_held_out_and_misspelt():
     assert (score(pa.array(["a quite idiotic stupidly written text of morons", "the fine day"])) > 0.5).tolist() == [True, False]
 
 
+def test_every_pair_of_words_is_a_window(models):
+    model, rng = models["tox"], random.Random(12)
+    words = sorted({w for _, t in ROWS for w in t.split()})
+    for n in (1, 2, 3, 9, 10):
+        text = rng.sample(words, n)
+        z = model.logits(pa.array([" ".join(text[k : k + 2]) for k in range(max(1, n - 1))]))
+        odds = z[:, 1] - z[:, 0]
+        best, place = model.margins(pa.array([" ".join(text)]), 2)
+        assert best[0] == pytest.approx(odds.max()) and odds[place[0]] == pytest.approx(odds.max())
+
+
 def test_language_held_out_and_calibrated():
     rows, rest = held_out("lang")
     model = langid.fit(rows)
