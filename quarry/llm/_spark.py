@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quarry-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _local_folder()
+    return where.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    """Cut lineage by a table written to the shared folder and read again.
+
+    Unlike ``DataFrame.checkpoint`` this also resets the plan's size estimate, which else grows with each round of a loop
+    until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more, after a checkpoint has cut them off."""
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete the tables of ``done`` (results of ``checkpoint`` that nothing reads any more), and let Spark's cleaner delete shuffle files that nothing refers to."""
+    for df in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -48,11 +73,13 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], to: str, salts:
 def label_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int, even: bool = True) -> list[tuple[str, str]]:
     """At most ``limit`` labelled (label, whole text) rows, evenly by label or as their shares are, chosen by a hash of the id.
 
-    Only this sample, used to fit a classifier, is bounded. Null ids, labels and texts are no training rows;
-    of several rows of one id any may be taken.
+    Only this sample, used to fit a classifier, is bounded. Null ids, labels and texts are no training rows. Of several
+    label rows of one id the greatest (quality, then toxic) counts; of several documents of one id all are taken.
     """
-    rows = docs.select("doc_id", "text", "lang").join(labels.select("doc_id", *[c for c in ("quality", "toxic") if c in labels.columns]).dropDuplicates(["doc_id"]), "doc_id")
-    rows = rows.select("doc_id", label.cast("string").alias("label")).where("doc_id is not null and label is not null")
+    known = [c for c in ("quality", "toxic") if c in labels.columns]
+    own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(*known)).alias("_l")).select("doc_id", "_l.*")
+    side = docs.where("doc_id is not null and text is not null").select("doc_id", *[c for c in ("lang", "source") if c in docs.columns])
+    rows = side.join(own, "doc_id").select("doc_id", label.cast("string").alias("label")).where("label is not null").distinct()
     per = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return []
@@ -62,6 +89,6 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int,
         some = rows.where(F.col("label") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         ids = some if ids is None else ids.unionByName(some)
     chosen = {r["doc_id"]: r["label"] for r in ids.collect()}
-    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
+    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id").collect()  # at most `limit` ids
     return sorted((chosen[r["doc_id"]], r["text"]) for r in texts)

@@ -2,25 +2,31 @@
 
 A text is the set of its normalised word n-grams. Two sets of Jaccard similarity t or more share a
 token among the first ``s - ceil(t s) + 1`` of either under *any* order of all tokens, so a candidate
-must share a prefix token under each of two orders, and only the intersection is verified, exactly.
-Both orders put rare tokens first, by exact frequencies over the whole corpus: order 0 by
-(frequency, hash), order 1 by (binary logarithm of frequency, another hash). A token of one set
+must share a prefix token under each of ``orders`` orders, and only the intersection is verified, by counting common tokens.
+All orders put rare tokens first, by exact frequencies over the whole corpus: order 0 by
+(frequency, hash), order k by (binary logarithm of frequency, k-th hash). A token of one set
 alone can't be shared; it only uses up prefix, which leaves most unrelated documents without any
 prefix token to look up.
 
-Tokens travel as sorted binary columns, a row a batch and token range, not as a row each. Documents
+Tokens are 48-bit hashes and travel as sorted binary columns, a row a batch and token range, not as a row each; the number of
+ranges grows with the corpus, so a task's memory doesn't. Documents
 of one set are one set throughout, named by 64 bits that its tokens give (of n sets two are confused with a
-chance of n^2 / 2^65); frequencies count distinct sets.
+chance of n^2 / 2^65; two tokens of a pair of sets of s tokens with s^2 / 2^48); frequencies count distinct sets.
 
 A pair needs to be met only at its first common token, so it is passed over at a token whose places in the two
 sets leave too few tokens after it, were it the first. At tokens in more than ``hot_df`` sets, which near copies
 share by the hundred, a set also shows ``MARKS`` of the prefix tokens before this one: the last, and the least under some
-hashes. Where two sets show the same mark they met before, and aren't paired again. No token is left out.
+hashes. Where two sets show the same mark they met before, and aren't paired again. No token is left out. The sets of a token in
+more than ``block`` sets are dealt into blocks, and each two blocks meet in a task of their own.
 
-Defined results: null and empty texts, and texts without words, have no n-grams and pair with nothing; a text of
-fewer than n words is one gram; rows of equal n-gram sets form a class, listed once with itself at 1.0; rows of
-null doc_id are left out of pairs; a repeated doc_id is listed as often as it occurs; ties of ids need no order
-but the numeric; an empty table gives no rows; extra columns are ignored.
+Verification deals the sets of a neighbourhood into chunks of bounded size and ships a set once a chunk that it has candidates in,
+not once a pair.
+
+Defined results: null and empty texts, and texts without words, have no n-grams: each is a class of its own without links; a text of
+fewer than n words is one gram; very long texts are one set of all their n-grams; rows of equal n-gram sets count as copies, whatever
+their doc_id; rows of a null doc_id take part, and the class of none but such has a null class_id; a repeated doc_id is listed as
+often as it occurs; of tied leads ``keep_one`` keeps any one row; an empty table gives no rows; extra columns are ignored by ``join`` and kept by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._graph import components
 from quarry.llm._spark import checkpoint, release
@@ -38,8 +45,12 @@ from quarry.llm._text import Words, chunks, distinct, mix, shingles
 
 N = 3
 THRESHOLD = 0.6
+ORDERS = 3
 HOT_DF = 512
+BLOCK = 4096
 MARKS = 4
+RANGE_BYTES = 4 << 20  # text a token range
+CHUNK_TOKENS = 500_000  # of the sets of a chunk
 FLUSH_TOKENS = 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -58,8 +69,9 @@ def _unpack(packed: bytes) -> np.ndarray:
     return (np.frombuffer(packed, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(packed, np.uint16, n, 4 * n)
 
 
-def _parts(token: np.ndarray, parts: int) -> np.ndarray:
-    return ((token >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+def _bounds(parts: int) -> np.ndarray:
+    """Where each of the equal token ranges begins, and the end of the last."""
+    return np.array([min((k << 48) // parts, (1 << 48) - 1) for k in range(parts)] + [(1 << 48) - 1], np.uint64)
 
 
 def _set_ids(token: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,38 +85,51 @@ def _set_ids(token: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarra
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+
 
+def _set_of(column: pa.Array, n: int) -> pa.Array:
+    """The set id of each text, null without words."""
+    out, has = np.zeros(len(column), np.int64), np.zeros(len(column), bool)
+    for at, piece in chunks(column):
+        token, owner, _ = distinct(*shingles(Words(piece), n))
+        set_id, size = _set_ids(token, owner, len(piece))
+        out[at : at + len(piece)], has[at : at + len(piece)] = set_id, size > 0
+    return pa.array(out, mask=~has)
 
-def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """set_id, size, doc_ids: the documents of each distinct set."""
+
+def _members(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, set_id: a row a row of ``docs``."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, piece in chunks(b.column("text")):
-                token, owner, _ = distinct(*shingles(Words(piece), n))
-                set_id, size = _set_ids(token, owner, len(piece))
-                has = size > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(piece)][has]), pa.array(set_id[has]), pa.array(size[has].astype(np.int64))], ["doc_id", "set_id", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _set_of(b.column("text"), n)], ["doc_id", "set_id"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, set_id long, size long").groupBy("set_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_id long")
 
 
 def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """A row per batch and token range: 6 bytes of each token, its set's place in the batch, and the sets."""
 
+    bounds = _bounds(parts)
+
     def flush(held):
         token, place, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-        part = _parts(token, parts)
-        order = np.lexsort((token, part))
+        _, first = np.unique(ids, return_index=True)  # of equal sets one is posted
+        lead = np.zeros(len(ids), bool)
+        lead[first] = True
+        keep = lead[place]
+        token, place = token[keep] >> np.uint64(16), place[keep]
+        order = np.argsort(token, kind="stable")
         token, place = token[order], place[order]
-        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        ends = np.searchsorted(token, bounds)
+        ends[-1] = len(token)
         rows = []
         for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
             if b > a:
                 used, where = np.unique(place[a:b], return_inverse=True)
-                rows.append((p, _bytes((token[a:b] >> np.uint64(32)).astype(np.uint32)), _bytes((token[a:b] >> np.uint64(16)).astype(np.uint16)), _bytes(where.astype(np.uint16)), _bytes(ids[used]), _bytes(sizes[used])))
+                rows.append((p, _bytes((token[a:b] >> np.uint64(16)).astype(np.uint32)), _bytes(token[a:b].astype(np.uint16)), _bytes(where.astype(np.uint16)), _bytes(ids[used]), _bytes(sizes[used])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "high", "low", "place", "ids", "sizes"])
 
     def run(batches):
@@ -117,16 +142,11 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     if not len(token):
                         continue
                     own, size = _set_ids(token, owner, len(some))
-                    # of equal sets in one chunk, one is posted
-                    _, first = np.unique(own, return_index=True)
-                    lead = np.zeros(len(own), bool)
-                    lead[first] = True
-                    keep = lead[owner]
                     if sets + len(some) > 65536 or tokens > FLUSH_TOKENS:
                         yield flush(held)
                         held, tokens, sets = [], 0, 0
-                    held.append((token[keep], owner[keep] + sets, own, size))
-                    tokens, sets = tokens + int(keep.sum()), sets + len(own)
+                    held.append((token, (owner + sets).astype(np.int32), own, size))
+                    tokens, sets = tokens + len(token), sets + len(own)
         if held:
             yield flush(held)
 
@@ -160,7 +180,7 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
         times = np.diff(np.append(begin, len(token)))
         df = np.repeat(times, times)
         keep = df > 1
-        token, ids, sizes, df = token[keep], ids[keep], sizes[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+        token, ids, sizes, df = token[keep], ids[keep], sizes[keep], df[keep].astype(np.uint32)
         bucket = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((ids, bucket))
         token, ids, sizes, df, bucket = token[order], ids[order], sizes[order], df[order], bucket[order]
@@ -186,7 +206,7 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
             ids.append(np.repeat(np.frombuffer(own, np.int64), times))
             sizes.append(np.repeat(np.frombuffer(size, np.uint32), times))
             token.append(_unpack(packed))
-            df.append(np.frombuffer(freq, np.uint16))
+            df.append(np.frombuffer(freq, np.uint32))
         ids, sizes, token, df = (np.concatenate(x) for x in (ids, sizes, token, df))
         order = np.lexsort((token, ids))
         ids, sizes, token, df = ids[order], sizes[order], token[order], df[order]
@@ -203,10 +223,10 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens, of those in two documents or more, in a set's prefix under one of the two orders; their frequencies; their places among all of its tokens."""
+    """The tokens, of those in two documents or more, in a set's prefix under one of the orders; their frequencies; their places among all of its tokens."""
     alone = size - len(token)
     room = size - int(np.ceil(threshold * size - 1e-9)) + 1 - alone
-    h = mix(token ^ _SALT) if order else token
+    h = mix(token ^ np.uint64(int(_SALT) * order % 2**64)) if order else token
     rank = np.lexsort((h, np.floor(np.log2(df)) if order else df))[: max(0, room)]
     return token[rank], df[rank], alone + np.arange(len(rank))
 
@@ -221,56 +241,67 @@ def marks(token: np.ndarray) -> np.ndarray:
     return out
 
 
-def _offers(sets: DataFrame, threshold: float, parts: int, hot_df: int) -> DataFrame:
+def meetings(token: np.ndarray, df: np.ndarray, ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and side of each meeting: a token of up to ``block`` sets is one (side 2, all pair with all); the sets of a more frequent one
+    are dealt into blocks, and a set goes to the meeting of its own block (side 2) and to those with each other block (sides 0 and 1, which pair across)."""
+    blocks = -(-df.astype(np.int64) // block)
+    row = np.repeat(np.arange(len(token)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (mix(ids.view(np.uint64) + token) % blocks.astype(np.uint64)).astype(np.int64)[row]
+    low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+    key = np.where(blocks[row] > 1, mix(token[row] ^ mix((low << np.uint64(32)) + high + np.uint64(1))), token[row])
+    return row, key, np.where(own == other, 2, own > other).astype(np.uint8)
+
+
+def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df: int, block: int) -> DataFrame:
     """A row a batch, order, token range, and hot tokens or others; only hot ones have marks."""
 
     def run(batches):
-        for b in batches:
-            size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
-            for order in (0, 1):
-                got = []
-                for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True):
-                    token, df, place = prefix(int(s), _unpack(t), np.frombuffer(f, np.uint16), threshold, order)
-                    hot = df > hot_df
-                    got.append((token, place, hot, marks(token)[hot] if hot.any() else np.zeros((0, MARKS), np.uint64)))
-                if not got:
-                    continue
-                times = [len(g[0]) for g in got]
-                token, place, hot, mark = (np.concatenate(x) for x in zip(*got, strict=True))
-                ids, sizes = np.repeat(rep, times), np.repeat(size, times)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
+                texts = [(int(s), _unpack(t), np.frombuffer(f, np.uint32)) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
                 rows = []
-                for some in (False, True):
-                    at = np.flatnonzero(hot == some)
-                    part = (mix(token[at]) % np.uint64(parts)).astype(np.int64)
-                    by = np.argsort(part, kind="stable")
-                    ends = np.searchsorted(part[by], np.arange(parts + 1))
-                    for p, (a, e) in enumerate(zip(ends, ends[1:], strict=False)):
-                        if e > a:
-                            k = at[by[a:e]]
-                            rows.append((order, p, some, _bytes(token[k]), _bytes(ids[k]), _bytes(sizes[k].astype(np.uint32)), _bytes(place[k].astype(np.uint32)), _bytes(mark[by[a:e]]) if some else b""))
+                for order in range(orders):
+                    got = []
+                    for s, t, f in texts:
+                        token, df, place = prefix(s, t, f, threshold, order)
+                        hot = df > hot_df
+                        got.append((token, df, place, hot, marks(token)[hot] if hot.any() else np.zeros((0, MARKS), np.uint64)))
+                    times = [len(g[0]) for g in got]
+                    token, df, place, hot, mark = (np.concatenate(x) for x in zip(*got, strict=True))
+                    ids, sizes = np.repeat(rep, times), np.repeat(size, times)
+                    for some in (False, True):
+                        at_ = np.flatnonzero(hot == some)
+                        row, key, side = meetings(token[at_], df[at_], ids[at_], block)
+                        part = (mix(key) % np.uint64(parts)).astype(np.int64)
+                        by = np.argsort(part, kind="stable")
+                        ends = np.searchsorted(part[by], np.arange(parts + 1))
+                        for p in np.flatnonzero(np.diff(ends)).tolist():
+                            k = by[ends[p] : ends[p + 1]]
+                            o = at_[row[k]]
+                            rows.append((order, p, some, _bytes(key[k]), _bytes(side[k]), _bytes(ids[o]), _bytes(sizes[o].astype(np.uint32)), _bytes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], ["ordering", "part", "hot", "token", "ids", "sizes", "places", "marks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], ["ordering", "part", "hot", "token", "side", "ids", "sizes", "places", "marks"])
 
-    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, ids binary, sizes binary, places binary, marks binary")
+    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, side binary, ids binary, sizes binary, places binary, marks binary")
 
 
-def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, mark: np.ndarray, threshold: float, most: int = 1_000_000):
-    """Yields arrays (a, b), a < b, of rows of one token whose sizes and places allow ``threshold`` and that show no mark in common; within one yield, distinct.
+def runs_to_pairs(token: np.ndarray, side: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, mark: np.ndarray, threshold: float, most: int = 1_000_000):
+    """Yields arrays (a, b), a < b, of rows of one token whose sides meet, whose sizes and places allow ``threshold`` and that show no mark in common; within one yield, distinct.
 
     ``mark``: (rows, MARKS), or (0, MARKS) for tokens without.
     """
     order = np.lexsort((sizes, token))
-    token, ids, sizes, places = token[order], ids[order], sizes[order], places[order]
+    token, side, ids, sizes, places = token[order], side[order], ids[order], sizes[order].astype(np.int64), places[order]
     mark = np.ascontiguousarray(mark[order].T) if len(mark) else mark.T
-    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    end = np.repeat(np.append(begin[1:], len(token)), np.diff(np.append(begin, len(token))))
     # sizes rise within a token, so a row's partners are a stretch after it that ends where sizes are too large
-    reach = np.empty(len(token), np.int64)
-    for a, b in zip(begin, np.append(begin[1:], len(token)), strict=True):
-        reach[a:b] = a + np.searchsorted(sizes[a:b], np.floor(sizes[a:b] / threshold + 1e-9), side="right") if b - a > 1 else b
-    count = np.maximum(0, np.minimum(end, reach) - np.arange(len(token)) - 1)
+    run = np.cumsum(np.append(0, token[1:] != token[:-1]))[: len(token)] << 32
+    reach = np.searchsorted(run + sizes, run + np.minimum(np.floor(sizes / threshold + 1e-9), (1 << 32) - 1).astype(np.int64), side="right")
+    count = reach - np.arange(len(token)) - 1
     total = np.cumsum(count)
-    left_over = (sizes.astype(np.int64) - places).astype(np.float64) * (1 + threshold)
+    left_over = (sizes - places).astype(np.float64) * (1 + threshold)
     need = threshold * sizes
     at = 0
     while at < len(count):
@@ -279,12 +310,13 @@ def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places:
         left = np.repeat(np.arange(at, to), n)
         right = left + 1 + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         at = to
+        new = (side[left] != side[right]) | (side[left] == 2)
+        new &= np.minimum(left_over[left], left_over[right]) >= need[left] + need[right] - 1e-6
+        left, right = left[new], right[new]
         for row in mark if mark.size else ():
             met = row[left]
             new = (met != row[right]) | (met == 0)
             left, right = left[new], right[new]
-        new = np.minimum(left_over[left], left_over[right]) >= need[left] + need[right] - 1e-6
-        left, right = left[new], right[new]
         a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
         if len(a):
             by = np.lexsort((b, a))
@@ -293,75 +325,125 @@ def runs_to_pairs(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places:
             yield a[new], b[new]
 
 
-def _candidates(offers: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a prefix token under both orders."""
+def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
+    """Pairs that share a prefix token under all orders."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = key[0].as_py()
-        kinds = {"token": np.uint64, "ids": np.int64, "sizes": np.uint32, "places": np.uint32, "marks": np.uint64}
+        kinds = {"token": np.uint64, "side": np.uint8, "ids": np.int64, "sizes": np.uint32, "places": np.uint32, "marks": np.uint64}
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for b in batches:
             for c, kind in kinds.items():
                 held[c] += [np.frombuffer(x, kind) for x in b.column(c).to_pylist()]
-        token, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
-        for a, b in runs_to_pairs(token, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
+        token, side, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
+        for a, b in runs_to_pairs(token, side, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 << order, np.int32))], ["a", "b", "seen"])
 
     pairs = offers.groupBy("ordering", "part", "hot").applyInArrow(run, "a long, b long, seen int")
-    return pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).where("seen = 3").select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).where(F.col("seen") == (1 << orders) - 1).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """a, b, shared, jaccard of the similar ones among ``pairs``.
+
+    Sets of one neighbourhood (named by the least id among a set and its candidates) are dealt into chunks of about ``CHUNK_TOKENS``; the
+    pairs of two chunks are a block, and blocks go to tasks by a hash.
+    """
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {}
+        for k, size, packed in zip(sets.column("x").to_pylist(), sets.column("size").to_pylist(), sets.column("tokens").to_pylist(), strict=True):
+            known[k] = (size, _unpack(packed))
+        keep, shared, whole = [], [], []
+        for k, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            (sa, left), (sb, right) = known[a], known[b]
+            if min(len(left), len(right)) * (1 + threshold) < threshold * (sa + sb) - 1e-9:
+                continue
+            both = np.concatenate([left, right])
+            both.sort(kind="stable")
+            n = int(np.count_nonzero(both[1:] == both[:-1]))
+            if n >= threshold * (sa + sb - n) - 1e-9:
+                keep.append(k)
+                shared.append(n)
+                whole.append(sa + sb - n)
+        some = pairs.take(pa.array(keep, pa.int64()))
+        return pa.Table.from_arrays([some.column("a"), some.column("b"), pa.array(shared, pa.int64()), pa.array(np.array(shared, np.int64) / np.maximum(1, np.array(whole, np.int64)))], names=["a", "b", "shared", "jaccard"])
+
+    spark = pairs.sparkSession
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    near = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("near"))
+    sized = near.join(sets.select(F.col("set_id").alias("x"), (F.length("tokens") / 6).alias("n")), "x")
+    chunks_of = sized.groupBy("near").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).alias("chunks"))
+    chunk = sized.join(chunks_of, "near").select("x", F.xxhash64("near", F.pmod(F.xxhash64("x"), "chunks")).alias("chunk"))
+    count = pairs.count()
+    tasks = max(parts, -(-count // 200_000))
+    left, right = (chunk.select(F.col("x").alias(s), F.col("chunk").alias(f"c{s}")) for s in "ab")
+    placed = pairs.join(left, "a").join(right, "b").select("a", "b", F.pmod(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")), F.lit(tasks)).cast("int").alias("block"))
+    placed = checkpoint(placed)
+    wanted = placed.select(F.col("a").alias("x"), F.col("block").alias("task")).union(placed.select("b", "block")).distinct()
+    shipped = wanted.join(sets.select(F.col("set_id").alias("x"), "size", "tokens"), "x")
+    out = checkpoint(placed.groupBy("block").cogroup(shipped.groupBy("task")).applyInArrow(run, "a long, b long, shared long, jaccard double"))
+    release(spark, placed)
+    return out
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, hot_df: int = HOT_DF, block: int = BLOCK) -> DataFrame:
+    """a, b, shared, jaccard: all pairs of distinct sets of similarity ``threshold`` or more, by set id."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    sets = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
+    release(spark)
+    pairs = checkpoint(_candidates(_offers(sets, threshold, orders, parts, hot_df, block), threshold, orders))
+    release(spark)
+    out = _verified(pairs, sets, threshold, parts)
+    release(spark, pairs, sets)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """set_id, component, lead (its least doc_id), copies (rows of this set), links: of the sets that several rows have or that are similar to another."""
+    links = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
+    group = components(pairs.select("a", "b")).select(F.col("node").alias("set_id"), "component")
+    own = members.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    own = own.join(group, "set_id", "left").where("component is not null or copies > 1").join(links, "set_id", "left")
+    own = checkpoint(own.select("set_id", F.coalesce("component", "set_id").alias("component"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    lead = own.groupBy("component").agg(F.min_by(F.struct("least", "set_id"), F.struct(F.col("least").isNull(), "least", "set_id")).alias("_l")).select("component", F.col("_l.least").alias("lead"), F.col("_l.set_id").alias("lead_set"))
+    return own.join(lead, "component")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, hot_df: int = HOT_DF, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, links, copies: one row a row of ``docs``.
+
+    ``class_id``: the least doc_id of the documents that links and copies connect it with. ``links``: the other n-gram sets that are similar to
+    this document's. ``copies``: the other rows of the same set. The pairs themselves are ``similar``'s.
+    """
+    pairs = similar(docs, n, threshold, orders, hot_df, block)
+    members = checkpoint(_members(docs, n))
+    classes = _classes(pairs, members).select("set_id", "lead", "links", "copies", F.lit(True).alias("_in"))
+    found = members.join(classes, "set_id", "left")
+    return found.select("doc_id", F.when(F.col("_in"), F.col("lead")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("copies", F.lit(1)) - 1).alias("copies"))
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, hot_df: int = HOT_DF, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id, null ids last. Rows that are like no other stay."""
+    pairs = similar(docs, n, threshold, orders, hot_df, block)
+    members = checkpoint(_members(docs, n))
+    classes = _classes(pairs, members).select("set_id", "lead", "lead_set")
+    # a decision a (doc_id, set), so no text travels to the one task of a set that very many rows have
+    rows = members.join(classes, "set_id").groupBy("doc_id", "set_id").agg(F.count(F.lit(1)).alias("n"), F.first("lead").alias("lead"), F.first("lead_set").alias("lead_set"))
+    leads = F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("set_id") == F.col("lead_set"))
+    verdict = checkpoint(rows.select(F.col("doc_id").alias("_d"), F.col("set_id").alias("_s"), F.when(~leads, 0).when(F.col("n") > 1, 2).otherwise(1).alias("_v")).where("_v <> 1"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, own = docs.columns.index("text"), f"c{docs.columns.index('doc_id')}"
+
     def run(batches):
         for b in batches:
-            keep, shared = [], []
-            left = right = None
-            for k, (sa, ta, sb, tb) in enumerate(zip(*(b.column(c).to_pylist() for c in ("sa", "ta", "sb", "tb")), strict=True)):
-                left, right = _unpack(ta), _unpack(tb)
-                if min(len(left), len(right)) * (1 + threshold) < threshold * (sa + sb) - 1e-9:
-                    continue
-                both = np.concatenate([left, right])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                if n >= threshold * (sa + sb - n) - 1e-9:
-                    keep.append(k)
-                    shared.append(n)
-            some = b.take(pa.array(keep, pa.int64()))
-            n = np.array(shared, np.int64)
-            union = some.column("sa").to_numpy().astype(np.int64) + some.column("sb").to_numpy() - n
-            yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(n), pa.array(n / np.maximum(1, union))], ["a", "b", "shared", "jaccard"])
-
-    a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long, shared long, jaccard double")
-
-
-def _similar(docs: DataFrame, n: int, threshold: float, hot_df: int) -> DataFrame:
-    """a, b, shared, jaccard: pairs of distinct sets, by set id."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
-    release(docs.sparkSession)
-    pairs = checkpoint(_candidates(_offers(sets, threshold, parts, hot_df), threshold))
-    release(docs.sparkSession)
-    return _verified(pairs, sets, threshold)
-
-
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_df: int = HOT_DF) -> DataFrame:
-    """doc_ids_a, doc_ids_b, shared, jaccard: every pair of distinct n-gram sets, each with all its documents, and every set that several documents have, with itself."""
-    pairs = checkpoint(_similar(docs, n, threshold, hot_df))
-    release(docs.sparkSession)
-    classes = checkpoint(_classes(docs, n))
-    a, b = (classes.select(F.col("set_id").alias(s), F.col("doc_ids").alias(f"doc_ids_{s}")) for s in "ab")
-    same = classes.where(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
-    return pairs.join(a, "a").join(b, "b").select("doc_ids_a", "doc_ids_b", "shared", "jaccard").unionByName(same)
-
-
-def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the least doc_id alone of each group that similar pairs connect; rows that pair with nothing stay. Rows of one doc_id stay or go together."""
-    group = components(_similar(docs, n, threshold, HOT_DF).select("a", "b"))
-    release(docs.sparkSession)
-    classes = _classes(docs, n).select("set_id", "doc_ids").join(group.select(F.col("node").alias("set_id"), "component"), "set_id", "left").where(F.col("component").isNotNull() | (F.size("doc_ids") > 1))
-    classes = checkpoint(classes.select(F.coalesce("component", "set_id").alias("component"), "doc_ids"))
-    lead = classes.groupBy("component").agg(F.min(F.element_at("doc_ids", 1)).alias("lead"))
-    gone = classes.join(lead, "component").select(F.explode("doc_ids").alias("_gone"), "lead").where("_gone <> lead").select("_gone").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+            yield pa.RecordBatch.from_arrays([*b.columns, _set_of(b.column(at), n)], [*names, "_set"])
+
+    plain = docs.toDF(*names)
+    known = plain.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema.fields] + [T.StructField("_set", T.LongType())]))
+    found = known.join(verdict, known[own].eqNullSafe(verdict["_d"]) & (known["_set"] == verdict["_s"]), "left")
+    single = found.where("_v is null").select(*names)
+    several = found.where("_v = 2").dropDuplicates([own, "_set"]).select(*names)  # repeated rows of a lead
+    return single.unionByName(several).toDF(*docs.columns)

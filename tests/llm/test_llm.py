@@ -81,11 +81,11 @@ def test_awkward_and_empty_tables(name, awkward, nothing, models):
         (r,) = [r for r in rows if r.doc_id == 8]
         assert r.text.endswith("[EMAIL]") and r.n_chars == len(r.text) and {x.text for x in rows if x.doc_id == 1} == {None}
     if name == "keep_one":
-        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "4", "6", "7", "8", "None"]
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "6", "7", "8", "None"]
     if name == "language":
         assert {r.doc_id: r.language for r in rows if r.doc_id in (1, 2, 7)} == {1: "und", 2: "und", 7: "und"}
     if name == "jaccard":
-        assert [(r.doc_ids_a, r.doc_ids_b) for r in rows] == [([4, 4, 5], [4, 4, 5])]
+        assert sorted((str(r.doc_id), r.class_id, r.links, r.copies) for r in rows) == [("1", 1, 0, 0), ("2", 2, 0, 0), ("3", 3, 0, 0), ("4", 4, 0, 2), ("4", 4, 0, 2), ("5", 4, 0, 2), ("6", 6, 0, 0), ("7", 7, 0, 0), ("8", 8, 0, 0), ("None", None, 0, 0)]
     if name == "simhash":
         assert [4, 4, 5] in [r.doc_ids_a for r in rows]
     if name == "ogg":
@@ -396,50 +396,77 @@ def word_sets(docs):
     return {g: tuple(sorted(x)) for g, x in out.items()}
 
 
+def brute(sets):
+    """Pairs of similar sets as pairs of their documents; for each document its class, links and copies."""
+    pairs = {tuple(sorted((x, y))) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if a & b and len(a & b) >= 0.6 * len(a | b) - 1e-9}
+    parent = {i: i for x in sets.values() for i in x}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = dict.fromkeys(sets.values(), 0)
+    for x, y in pairs:
+        links[x], links[y] = links[x] + 1, links[y] + 1
+    for i, j in [(x[0], y[0]) for x, y in pairs] + [(x[0], i) for x in sets.values() for i in x]:
+        i, j = sorted((find(i), find(j)))
+        parent[j] = i
+    return pairs, {i: (find(i), links[x], len(x) - 1) for x in sets.values() for i in x}
+
+
+def found(df):
+    return {r.doc_id: (r.class_id, r.links, r.copies) for r in df.collect()}
+
+
+def pairs_of(df, docs):
+    """The pairs of ``similar`` as pairs of documents."""
+    own = {}
+    for r in ngram_jaccard._members(docs, 3).collect():
+        own.setdefault(r.set_id, []).append(r.doc_id)
+    rows = [tuple(sorted((tuple(sorted(own[r.a])), tuple(sorted(own[r.b]))))) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
 def test_jaccard_join_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    sets = word_sets(docs.collect())
-    want = {(x, x) for x in sets.values() if len(x) > 1}
-    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
-        n = len(a & b)
-        if n and n >= 0.6 * (len(a) + len(b) - n) - 1e-9:
-            want.add(tuple(sorted((x, y))))
-    got = [tuple(sorted((tuple(r.doc_ids_a), tuple(r.doc_ids_b)))) for r in QUERIES["op9_ngram_jaccard"](spark, SMALL).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    kept = {r.doc_id for r in ngram_jaccard.keep_one(docs).select("doc_id").collect()}
-    edges = spark.createDataFrame([(x[0], i) for x, y in want for i in x + y], "a long, b long")
-    least = {r.node: r.component for r in components(edges).collect()}
-    assert kept == {r.doc_id for r in docs.collect() if least.get(r.doc_id, r.doc_id) == r.doc_id}
-
-
-def test_hot_tokens_lose_little(spark):
-    """Many near copies share all their tokens, each in more sets than ``hot_df``."""
-    rng = random.Random(8)
-    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-    docs = []
-    for k in range(60):
-        w = list(base)
-        for _ in range(6):
-            w[rng.randrange(300)] = f"n{rng.random()}"
-        docs.append((k, " ".join(w)))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    sets = word_sets(df.collect())
-    want = sum(len(a & b) >= 0.6 * len(a | b) for a, b in itertools.combinations(sets, 2))
-    assert ngram_jaccard.join(df, hot_df=5).count() >= 0.98 * want
+    rows = docs.collect()
+    pairs, want = brute(word_sets(rows))
+    assert pairs and pairs_of(ngram_jaccard.similar(docs), docs) == pairs
+    assert found(QUERIES["op9_ngram_jaccard"](spark, SMALL)) == {r.doc_id: want.get(r.doc_id, (r.doc_id, 0, 0)) for r in rows}
+    kept = sorted(r.doc_id for r in ngram_jaccard.keep_one(docs).select("doc_id").collect())
+    assert kept == [r.doc_id for r in rows if want.get(r.doc_id, (r.doc_id,))[0] == r.doc_id]
 
 
 def test_hot_tokens_lose_nothing(spark):
-    """A passage against the same passage and a rarer, but also hot one: the prefixes share few tokens, all of them hot."""
+    """A passage against the same passage and a rarer, but also hot one: the prefixes share few tokens, all of them hot. With any number of orders, and where a token's sets are dealt into blocks."""
     docs = []
     for g in range(6):
         first, second = ([f"w{g}x{k}y{p}" for k in range(n)] for p, n in enumerate((100, 56)))
         texts = [first + (second if k % 2 else []) for k in range(24)] + [first[5 * k :] for k in range(1, 12)]  # the passage's beginning is rarer than its end
         docs += [" ".join([*w, f"n{g}x{k}"]) for k, w in enumerate(texts)]
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for _ in range(60):  # many near copies share all their tokens
+        w = list(base)
+        for _ in range(6):
+            w[rng.randrange(300)] = f"n{rng.random()}"
+        docs.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    sets = word_sets(df.collect())
-    want = {tuple(sorted(x + y)) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(a & b) >= 0.6 * len(a | b) - 1e-9}
-    got = {tuple(sorted(r.doc_ids_a + r.doc_ids_b)) for r in ngram_jaccard.join(df, hot_df=5).collect()}
-    assert len(want) > 6 * 12 * 12 and got == want
+    pairs, want = brute(word_sets(df.collect()))
+    assert len(pairs) > 6 * 12 * 12 + 60 * 59 // 2 - 40
+    for orders, block in ((3, 4096), (2, 7), (1, 4096)):
+        assert pairs_of(ngram_jaccard.similar(df, orders=orders, hot_df=5, block=block), df) == pairs
+    assert found(ngram_jaccard.join(df, hot_df=5, block=11)) == want
+
+
+def test_one_row_of_a_class_stays_whatever_its_id(spark):
+    same, other = "one text that several rows have in common here", "quite another text about some other thing altogether"
+    rows = [(None, same), (None, same), (7, same), (7, same), (7, other), (None, other + " x y"), (9, "a text of its own that nothing is like at all"), (None, "null id alone with words of its own"), (None, "null id alone with words of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_v", F.lit("v")).withColumn("_set", F.lit("s"))
+    got = sorted((str(r.doc_id), r.text) for r in ngram_jaccard.keep_one(docs).collect())
+    assert got == sorted([("7", same), ("7", other), ("9", rows[6][1]), ("None", rows[7][1])])
 
 
 def test_simhash_equals_sql_and_brute_force(spark):
