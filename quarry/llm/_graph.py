@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._spark import checkpoint, release
+from quarry.llm._spark import checkpoint, discard
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u <> v").distinct()
         after = checkpoint(after)
         if current is not first:
-            release(edges.sparkSession, current)
+            discard(current)
         current, before, seen = after, seen, _print(after)
         if seen == before:
             break

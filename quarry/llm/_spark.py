@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="quarry-")
@@ -31,34 +33,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by a table written to the shared folder and read again.
 
     Unlike ``DataFrame.checkpoint`` this also resets the plan's size estimate, which else grows with each round of a loop
-    until planning takes longer than the work.
+    until planning takes longer than the work. Tables that a result still reads stay in the application's folder, which whoever runs
+    it may delete when it has ended.
     """
-    path = f"{shared_folder(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # nothing but this write reads its shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out
 
 
-def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Delete the tables of ``done`` (results of ``checkpoint`` that nothing reads any more), and let Spark's cleaner delete shuffle files that nothing refers to."""
+def discard(*done: DataFrame) -> None:
+    """Delete the tables of ``done``: results of ``checkpoint`` that nothing reads any more."""
     for df in done:
+        spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], to: str, salts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[Column], to: str, salts: int | None = None) -> DataFrame:
     """A 0-based rank of each row within ``by``, gap-free, without one task holding a whole group.
 
-    Rows are spread over ``salts`` by a hash of ``order``; each salt's rank starts where the salts
+    Rows are spread over ``salts`` (four a shuffle partition, 64 at least) by a hash of ``order``; each salt's rank starts where the salts
     before it end. Equal rows take different ranks.
     """
+    salts = salts or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = df.groupBy(*by, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

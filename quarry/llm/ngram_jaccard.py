@@ -8,10 +8,11 @@ All orders put rare tokens first, by exact frequencies over the whole corpus: or
 alone can't be shared; it only uses up prefix, which leaves most unrelated documents without any
 prefix token to look up.
 
-Tokens are 48-bit hashes and travel as sorted binary columns, a row a batch and token range, not as a row each; the number of
-ranges grows with the corpus, so a task's memory doesn't. Documents
-of one set are one set throughout, named by 64 bits that its tokens give (of n sets two are confused with a
-chance of n^2 / 2^65; two tokens of a pair of sets of s tokens with s^2 / 2^48); frequencies count distinct sets.
+Tokens are 48-bit hashes and travel as binary columns, a row a batch of texts and token range, not as a row each; the number of
+ranges grows with the corpus, so a task's memory doesn't. A token costs the bytes in which it differs within its range and
+a share of its batch's counts; which batch a set is in takes the place of its id, so ``docs`` must be a scan or some other plan that gives a task's rows
+again in the same order. Documents of one set are one set from there on, named by 64 bits that its tokens give (of n sets two are
+confused with a chance of n^2 / 2^65; two tokens of a pair of sets of s tokens with s^2 / 2^48); frequencies count a set once a batch.
 
 A pair needs to be met only at its first common token, so it is passed over at a token whose places in the two
 sets leave too few tokens after it, were it the first. At tokens in more than ``hot_df`` sets, which near copies
@@ -35,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._graph import components
-from quarry.llm._spark import checkpoint, release
+from quarry.llm._spark import checkpoint, discard
 from quarry.llm._text import Words, chunks, distinct, mix, shingles
 
 N = 3
@@ -49,7 +51,7 @@ ORDERS = 3
 HOT_DF = 512
 BLOCK = 4096
 MARKS = 4
-RANGE_BYTES = 4 << 20  # text a token range
+RANGE_BYTES = 16 << 20  # of text a token range
 CHUNK_TOKENS = 500_000  # of the sets of a chunk
 FLUSH_TOKENS = 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -71,7 +73,12 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 def _bounds(parts: int) -> np.ndarray:
     """Where each of the equal token ranges begins, and the end of the last."""
-    return np.array([min((k << 48) // parts, (1 << 48) - 1) for k in range(parts)] + [(1 << 48) - 1], np.uint64)
+    return np.array([(k << 48) // parts for k in range(parts + 1)], np.uint64)
+
+
+def _width(parts: int) -> int:
+    """Bytes of a token's offset in its range."""
+    return (((1 << 48) // parts + 1).bit_length() + 7) // 8
 
 
 def _set_ids(token: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,29 +117,37 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """A row per batch and token range: 6 bytes of each token, its set's place in the batch, and the sets."""
+    """A row a batch and token range: how many of its tokens each of the batch's sets has (or, if these are few, which set each is of), and the tokens by set.
 
-    bounds = _bounds(parts)
+    One row more a batch has the ids and sizes of its sets.
+    """
+    bounds, width = _bounds(parts), _width(parts)
+    names = ["part", "batch", "counts", "places", "tokens", "ids", "sizes"]
 
-    def flush(held):
+    def flush(batch, held):
         token, place, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
         _, first = np.unique(ids, return_index=True)  # of equal sets one is posted
         lead = np.zeros(len(ids), bool)
         lead[first] = True
+        rank = (np.cumsum(lead) - 1).astype(np.int32)
         keep = lead[place]
-        token, place = token[keep] >> np.uint64(16), place[keep]
-        order = np.argsort(token, kind="stable")
-        token, place = token[order], place[order]
-        ends = np.searchsorted(token, bounds)
-        ends[-1] = len(token)
-        rows = []
-        for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            if b > a:
-                used, where = np.unique(place[a:b], return_inverse=True)
-                rows.append((p, _bytes((token[a:b] >> np.uint64(16)).astype(np.uint32)), _bytes(token[a:b].astype(np.uint16)), _bytes(where.astype(np.uint16)), _bytes(ids[used]), _bytes(sizes[used])))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "high", "low", "place", "ids", "sizes"])
+        token, place = token[keep] >> np.uint64(16), rank[place[keep]]
+        ids, sizes = ids[lead], sizes[lead]
+        part = np.searchsorted(bounds, token, side="right") - 1
+        order = np.argsort(part, kind="stable")  # by set within a range, as before
+        part, place = part[order], place[order]
+        offset = (token[order] - bounds[part]).view(np.uint8).reshape(-1, 8)[:, :width]
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(batch % parts, batch, None, None, None, _bytes(ids), _bytes(sizes))]
+        for p in np.flatnonzero(np.diff(ends)).tolist():
+            a, b = ends[p], ends[p + 1]
+            few = b - a < len(ids) // 2
+            counts = None if few else np.bincount(place[a:b], minlength=len(ids))
+            rows.append((p, batch, None if few else _bytes(counts.astype(np.uint8)) + _bytes((counts >> 8).astype(np.uint32)), _bytes(place[a:b].astype(np.uint16)) if few else None, _bytes(offset[a:b]), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         held, tokens, sets = [], 0, 0
         for b in batches:
             for _, piece in chunks(b.column("text")):
@@ -143,83 +158,86 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
                         continue
                     own, size = _set_ids(token, owner, len(some))
                     if sets + len(some) > 65536 or tokens > FLUSH_TOKENS:
-                        yield flush(held)
+                        yield flush(number, held)
                         held, tokens, sets = [], 0, 0
+                        number += 1
                     held.append((token, (owner + sets).astype(np.int32), own, size))
                     tokens, sets = tokens + len(token), sets + len(own)
         if held:
-            yield flush(held)
+            yield flush(number, held)
 
-    return _texts(docs).mapInArrow(run, "part int, high binary, low binary, place binary, ids binary, sizes binary")
+    return _texts(docs).mapInArrow(run, "part int, batch long, counts binary, places binary, tokens binary, ids binary, sizes binary")
 
 
 def _shared(posts: DataFrame, parts: int) -> DataFrame:
-    """Postings of tokens in two distinct sets or more, regrouped by set: a row per token range and range of sets."""
+    """Postings of tokens that occur again, a row a batch and token range; rows of ids pass."""
+    bounds, width = _bounds(parts), _width(parts)
 
     def run(key, rows):
-        part = key[0].as_py()
-        token, ids, sizes = [], [], []
-        for high, low, place, own, size in zip(*(rows.column(c).to_pylist() for c in ("high", "low", "place", "ids", "sizes")), strict=True):
-            where = np.frombuffer(place, np.uint16)
-            token.append((np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(low, np.uint16))
-            ids.append(np.frombuffer(own, np.int64)[where])
-            sizes.append(np.frombuffer(size, np.uint32)[where])
-        token, ids, sizes = np.concatenate(token), np.concatenate(ids), np.concatenate(sizes)
-        order = np.argsort(token, kind="stable")
-        token, ids, sizes = token[order], ids[order], sizes[order]
-        several = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        several[1:] |= same
-        several[:-1] |= same
-        token, ids, sizes = token[several], ids[several], sizes[several]
-        order = np.lexsort((ids, token))
-        token, ids, sizes = token[order], ids[order], sizes[order]
-        once = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]))[: len(token)]
-        token, ids, sizes = token[once], ids[once], sizes[once]
-        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
-        times = np.diff(np.append(begin, len(token)))
-        df = np.repeat(times, times)
-        keep = df > 1
-        token, ids, sizes, df = token[keep], ids[keep], sizes[keep], df[keep].astype(np.uint32)
-        bucket = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((ids, bucket))
-        token, ids, sizes, df, bucket = token[order], ids[order], sizes[order], df[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(parts + 1))
-        out = []
-        for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            if b > a:
-                head = a + np.flatnonzero(np.append(True, ids[a + 1 : b] != ids[a : b - 1]))
-                out.append((p, part, _bytes(ids[head]), _bytes(sizes[head]), _bytes(np.diff(np.append(head, b)).astype(np.uint32)), _pack(token[a:b]), _bytes(df[a:b])))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "part", "ids", "sizes", "counts", "tokens", "df"])
-
-    return posts.groupBy("part").applyInArrow(run, "bucket int, part int, ids binary, sizes binary, counts binary, tokens binary, df binary")
+        out, batch, token, ref = [], [], [], []
+        for name, counts, places, packed, ids, sizes in zip(*(rows.column(c).to_pylist() for c in ("batch", "counts", "places", "tokens", "ids", "sizes")), strict=True):
+            if ids is not None:
+                out.append((name, None, None, None, ids, sizes))
+                continue
+            if counts is not None:
+                k = len(counts) // 5
+                times = np.frombuffer(counts, np.uint8, k).astype(np.int64) + (np.frombuffer(counts, np.uint32, k, k).astype(np.int64) << 8)
+                place = np.repeat(np.arange(k), times)
+            else:
+                place = np.frombuffer(places, np.uint16).astype(np.int64)
+            wide = np.zeros((len(packed) // width, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+            token.append(wide.view(np.uint64).ravel())
+            ref.append((len(batch) << 16) + place)
+            batch.append(name)
+        rows = None
+        if batch:
+            token, ref = np.concatenate(token), np.concatenate(ref)
+            order = np.argsort(token, kind="stable")
+            token, ref = token[order], ref[order]
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            times = np.diff(np.append(begin, len(token)))
+            df = np.repeat(times, times)
+            keep = df > 1
+            token, ref, df = token[keep] + bounds[key[0].as_py()], ref[keep], df[keep].astype(np.uint32)
+            order = np.argsort(ref, kind="stable")
+            token, ref, df = token[order], ref[order], df[order]
+            ends = np.searchsorted(ref, np.arange(len(batch) + 1) << 16)
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                a, b = ends[k], ends[k + 1]
+                out.append((batch[k], _bytes(ref[a:b].astype(np.uint16)), _pack(token[a:b]), _bytes(df[a:b]), None, None))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["batch", "places", "tokens", "df", "ids", "sizes"])
+
+    return posts.groupBy("part").applyInArrow(run, "batch long, places binary, tokens binary, df binary, ids binary, sizes binary")
 
 
 def _sets(shared: DataFrame, threshold: float) -> DataFrame:
-    """Sets that can have a partner: size, shared tokens (sorted, 6 bytes each) and their frequencies."""
+    """Sets that can have a partner, once a batch: size, tokens that occur again (sorted, 6 bytes each) and their frequencies."""
 
     def run(_, rows):
-        ids, sizes, token, df = [], [], [], []
-        for own, size, count, packed, freq in zip(*(rows.column(c).to_pylist() for c in ("ids", "sizes", "counts", "tokens", "df")), strict=True):
-            times = np.frombuffer(count, np.uint32)
-            ids.append(np.repeat(np.frombuffer(own, np.int64), times))
-            sizes.append(np.repeat(np.frombuffer(size, np.uint32), times))
-            token.append(_unpack(packed))
-            df.append(np.frombuffer(freq, np.uint32))
-        ids, sizes, token, df = (np.concatenate(x) for x in (ids, sizes, token, df))
-        order = np.lexsort((token, ids))
-        ids, sizes, token, df = ids[order], sizes[order], token[order], df[order]
-        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        place, token, df, ids, sizes = [], [], [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for places, packed, freq, own, size in zip(*(rows.column(c).to_pylist() for c in ("places", "tokens", "df", "ids", "sizes")), strict=True):
+            if own is not None:
+                ids, sizes = np.frombuffer(own, np.int64), np.frombuffer(size, np.uint32)
+            else:
+                place.append(np.frombuffer(places, np.uint16))
+                token.append(_unpack(packed))
+                df.append(np.frombuffer(freq, np.uint32))
         out = []
-        for a, b in zip(begin, np.append(begin[1:], len(ids)), strict=True):
-            s = int(sizes[a])
-            if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
-                out.append((int(ids[a]), s, _pack(token[a:b]), _bytes(df[a:b])))
+        if place:
+            place, token, df = (np.concatenate(x) for x in (place, token, df))
+            order = np.lexsort((token, place))
+            place, token, df = place[order], token[order], df[order]
+            begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            for a, b in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist(), strict=True):
+                s = int(sizes[place[a]])
+                if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
+                    out.append((int(ids[place[a]]), s, _pack(token[a:b]), _bytes(df[a:b])))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["set_id", "size", "tokens", "df"])
 
-    return shared.groupBy("bucket").applyInArrow(run, "set_id long, size int, tokens binary, df binary")
+    return shared.groupBy("batch").applyInArrow(run, "set_id long, size int, tokens binary, df binary")
 
 
 def prefix(size: int, token: np.ndarray, df: np.ndarray, threshold: float, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,7 +387,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -
         some = pairs.take(pa.array(keep, pa.int64()))
         return pa.Table.from_arrays([some.column("a"), some.column("b"), pa.array(shared, pa.int64()), pa.array(np.array(shared, np.int64) / np.maximum(1, np.array(whole, np.int64)))], names=["a", "b", "shared", "jaccard"])
 
-    spark = pairs.sparkSession
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     near = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("near"))
     sized = near.join(sets.select(F.col("set_id").alias("x"), (F.length("tokens") / 6).alias("n")), "x")
@@ -383,7 +400,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -
     wanted = placed.select(F.col("a").alias("x"), F.col("block").alias("task")).union(placed.select("b", "block")).distinct()
     shipped = wanted.join(sets.select(F.col("set_id").alias("x"), "size", "tokens"), "x")
     out = checkpoint(placed.groupBy("block").cogroup(shipped.groupBy("task")).applyInArrow(run, "a long, b long, shared long, jaccard double"))
-    release(spark, placed)
+    discard(placed)
     return out
 
 
@@ -392,12 +409,12 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: i
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    sets = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
-    release(spark)
+    found = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
+    sets = checkpoint(found.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "tokens", "df")]))
+    discard(found)
     pairs = checkpoint(_candidates(_offers(sets, threshold, orders, parts, hot_df, block), threshold, orders))
-    release(spark)
     out = _verified(pairs, sets, threshold, parts)
-    release(spark, pairs, sets)
+    discard(pairs, sets)
     return out
 
 

@@ -6,9 +6,10 @@ less itself, which is its exact neighbour weight in every shard, at a cost by (d
 begin evenly spread; those without are dealt last, to even the sizes, so they keep no room from the others. In each round, half of them by a hash find the shard of most of that weight; the wishes from shard i
 to j (every other round only to shards that aren't full) are matched with those from j to i, and what is over shares the room that j has up to its capacity, (1 +
 ``slack``) times the mean. Where wishes exceed the quota the greatest gains go first. Sizes thus never pass the
-capacity, and no task or driver holds more than counts by (from, to, gain class).
+capacity, and no task or driver holds more than counts by (from, to, gain class). It ends after ``rounds`` or when hardly any document moves. Each
+round's shards are written to the shared folder, which also keeps the plan from growing.
 
-Defined results: null and empty texts have no links; rows of a null doc_id go to shard 0 and don't count; repeated
+Defined results: null and empty texts have no links; of very long texts all lines count; rows of a null doc_id go to shard 0 and don't count; repeated
 rows of one doc_id are one document, listed as often as it occurs; equal gains go by a hash; an empty table gives
 no rows; extra columns are ignored.
 """
@@ -18,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._spark import checkpoint, numbered
+from quarry.llm._spark import checkpoint, discard, numbered
 
 SHARDS = 16
 SLACK = 0.05
-ROUNDS = 8
+ROUNDS = 12
+SETTLED = 0.001  # of the documents: four rounds in turn that move fewer end it
 MIN_WORDS = 5
 
 
@@ -124,15 +126,17 @@ def propagate(nodes: DataFrame, rows: DataFrame, shards: int = SHARDS, slack: fl
             sizes[r["from"]] -= n
             sizes[r["to"]] += n
             grants.append((r["from"], r["to"], r["level"], n))
-        if not any(g[3] for g in grants):
-            still += 1
-            if still == 4:  # both halves, with and without full shards
-                break
-            continue
-        still = 0
-        table = spark.createDataFrame(grants, "from int, to int, level int, quota long")
-        moved = numbered(wish, ["from", "to", "level"], [F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")], "rank").join(F.broadcast(table), ["from", "to", "level"]).where("rank < quota").select("doc_id", F.col("to").alias("moved"))
-        linked = checkpoint(linked.join(moved, "doc_id", "left").select("doc_id", F.coalesce("moved", "shard").alias("shard")))
+        some = sum(g[3] for g in grants)
+        still = still + 1 if some <= SETTLED * total else 0
+        if some:
+            table = spark.createDataFrame(grants, "from int, to int, level int, quota long")
+            moved = numbered(wish, ["from", "to", "level"], [F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")], "rank").join(F.broadcast(table), ["from", "to", "level"]).where("rank < quota").select("doc_id", F.col("to").alias("moved"))
+            before = linked
+            linked = checkpoint(before.join(moved, "doc_id", "left").select("doc_id", F.coalesce("moved", "shard").alias("shard")))
+            discard(before)
+        discard(wish)
+        if still == 4:  # both halves, with and without full shards
+            break
     room = fill(sizes, total - sum(sizes))
     ends = [sum(room[: k + 1]) for k in range(shards)]
     alone = numbered(nodes.join(known, "doc_id", "left_anti"), [], [F.col("doc_id")], "rank")
