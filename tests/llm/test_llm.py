@@ -239,12 +239,17 @@ def test_crf_marginals_are_exact_on_trees_and_close_on_loops(models):
         assert np.abs(np.exp(m.marginals(g)) - want).max() < tolerance
 
 
-def test_pii_held_out_and_consistent():
-    m = pii.train()
+def test_pii_held_out_and_consistent(trained_pii):
+    m = trained_pii
     texts, spans = pii.training_set(150, seed=77)
     g, _, offsets = pii.graph(pa.array(texts))
-    y, z = pii.truth(g, offsets, spans), m.label(g)
-    assert (z[y > 0] == y[y > 0]).mean() > 0.98 and (y[z > 0] == z[z > 0]).mean() > 0.98
+    whole, _, offsets = pii.graph(pa.array(texts), everything=True)
+    y, z = pii.truth(whole, offsets, spans), m.label(whole)
+    assert (z[y > 0] == y[y > 0]).mean() > 0.97 and (y[z > 0] == z[z > 0]).mean() > 0.97
+    # what is left out of message passing is outside in the whole field too
+    some = np.zeros(len(z), int)
+    some[g.place] = m.label(g)
+    assert len(g.row) < 0.5 * len(z) and (some == z).mean() > 0.999 and (y[np.setdiff1d(np.arange(len(y)), g.place)] > 0).sum() <= 0.01 * (y > 0).sum()
     # the second place has no context of its own: the first decides
     key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
     found, _ = pii.entities(m, pa.array([f'token = "{key}" and ' + "plain words " * 300 + f"then {key} again"]))
@@ -253,17 +258,50 @@ def test_pii_held_out_and_consistent():
     assert clean == [[], []]
 
 
-def test_pii_finds_what_patterns_find():
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password = correcthorsebatterystaple", [("correcthorsebatterystaple", "SECRET")]),
+        ('set token = "ABCdefGHIjklMNOpqrSTUvwx" here', [("ABCdefGHIjklMNOpqrSTUvwx", "SECRET")]),
+        ("My name is John Smith and Smith lives here. Later on John went home", [("John Smith", "NAME"), ("Smith", "NAME"), ("John", "NAME")]),
+        ("a ssn 123-45-6789 is given", [("123-45-6789", "SSN")]),
+        ("pay to DE89370400440532013000 now", [("DE89370400440532013000", "IBAN")]),
+        ("IBAN GB29 NWBK 6016 1331 9268 19 please", [("GB29 NWBK 6016 1331 9268 19", "IBAN")]),
+        ("card 4111 1111 1111 1111 ok", [("4111 1111 1111 1111", "CARD")]),
+        ("number 4111111111111111 here", [("4111111111111111", "CARD")]),
+        ("number 4111111111111112 has a wrong sum", []),
+        ("write to jane_doe@mail.example.org or call (212) 555-0199 today", [("jane_doe@mail.example.org", "EMAIL"), ("(212) 555-0199", "PHONE")]),
+        ("the host 10.20.30.40 is up, version 1.2.3.4.5 is not", [("10.20.30.40", "IP")]),
+        ("the token bucket algorithm is a key idea and the password was lost", []),
+        ("commit 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567 on 2024-05-06 at 10:30", []),
+    ],
+)
+def test_pii_by_hand(trained_pii, text, want):
+    found, _ = pii.entities(trained_pii, pa.array([text]))
+    assert [(text.encode()[a:b].decode(), k) for a, b, k in found[0]] == want
+
+
+@pytest.fixture(scope="module")
+def trained_pii():
+    return pii.train()
+
+
+def test_pii_finds_what_patterns_find(trained_pii):
+    """Of numbers of 16 digits those whose check sum holds are cards; the others are left alone."""
     import re
 
     import pyarrow.dataset as ds
 
     texts = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table().column("text").to_pylist()
     pats = {"EMAIL": r'[^\s@"<>]+@[a-z0-9.-]+\.[a-z]{2,}', "PHONE": r"\+1 \(\d{3}\) \d{3}-\d{4}", "IP": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "CARD": r"\b\d{16}\b", "SECRET": r'(?<=token = ")[0-9a-f]{40}(?=")'}
-    found, _ = pii.entities(pii.train(), pa.array(texts))
+    found, _ = pii.entities(trained_pii, pa.array(texts))
+    lacking, clean, touched = [], 0, 0
     for t, spans in zip(texts, found, strict=True):
         b = t.encode()
-        assert {(b[x:y].decode(), k) for x, y, k in spans} >= {(v, k) for k, p in pats.items() for v in re.findall(p, t)}
+        want = {(v, k) for k, p in pats.items() for v in re.findall(p, t) if k != "CARD" or pii._luhn(v.encode())}
+        lacking += want - {(b[x:y].decode(), k) for x, y, k in spans}
+        clean, touched = clean + (not want), touched + (bool(spans) and not want)
+    assert not lacking and touched <= 0.005 * clean
 
 
 def stream_of(packets, page=300, serial=9):
