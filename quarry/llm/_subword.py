@@ -96,11 +96,21 @@ def bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
         value = np.repeat(times / (n[row] * size), size)
         spot = np.repeat(row, size) * buckets + bucket[flat]
         spot, where = np.unique(spot, return_inverse=True)
-        cols.append(spot % buckets)
-        vals.append(np.bincount(where, weights=value))
+        cols.append((spot % buckets).astype(np.int32))
+        vals.append(np.bincount(where, weights=value).astype(np.float32))
         sizes[at : at + len(part)] += np.bincount(spot // buckets, minlength=len(part))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(cols, np.int64), join(vals, float), np.append(0, np.cumsum(sizes))
+    return _joined(cols, np.int32), _joined(vals, np.float32), np.append(0, np.cumsum(sizes))
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    """The parts in one array; each is let go once copied, so the driver doesn't hold all twice."""
+    out, at = np.empty(sum(map(len, parts)), kind), 0
+    parts.reverse()
+    while parts:
+        some = parts.pop()
+        out[at : at + len(some)] = some
+        at += len(some)
+    return out
 
 
 def fit(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 7, batch: int = 64) -> SubwordSoftmax:
@@ -128,9 +138,10 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 8, epoch
             p[np.arange(len(ids)), y[ids]] -= 1
             p *= (weight[y[ids]] / len(ids))[:, None]
             back = p @ head.T
-            grad = np.stack([np.bincount(c, weights=back[doc, k] * v, minlength=buckets) for k in range(dim)], 1)
-            seen[0] += grad**2
-            emb -= rate * grad / np.sqrt(seen[0])
+            touched, where = np.unique(c, return_inverse=True)
+            grad = np.stack([np.bincount(where, weights=back[doc, k] * v, minlength=len(touched)) for k in range(dim)], 1)
+            seen[0][touched] += grad**2
+            emb[touched] -= rate * grad / np.sqrt(seen[0][touched])
             for value, g, s in ((head, hidden.T @ p, seen[1]), (bias, p.sum(0), seen[2])):
                 s += g**2
                 value -= 0.1 * g / np.sqrt(s)

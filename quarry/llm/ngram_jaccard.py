@@ -51,7 +51,7 @@ ORDERS = 3
 HOT_DF = 512
 BLOCK = 4096
 MARKS = 4
-RANGE_BYTES = 16 << 20  # of text a token range
+RANGE_BYTES = 4 << 20  # of text a token range
 CHUNK_TOKENS = 500_000  # of the sets of a chunk
 FLUSH_TOKENS = 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
