@@ -5,9 +5,11 @@ verified; a bad or torn page is dropped, and the search for the next capture pat
 its first byte. Lacing values give the packets, which may run over pages; a packet that a lost page tears
 is dropped and counted. Pages go by serial number to their logical stream. A granule position becomes
 seconds by the codec that the first packet names: Opus (48 kHz less the pre-skip), Vorbis, Speex, FLAC (sample
-rate), Theora (frames, key frame and offset), Skeleton and unknown codecs have none.
+rate), Theora (frames, key frame and offset), Skeleton and unknown codecs have none. It is the end of the last packet that its page completes; of the packets
+before that on the page, Opus packets end where their own durations put them, those of other codecs are spread evenly since the page before.
+Header packets have no time.
 
-Defined results: a null cell gives no rows; an empty one, or one without a whole page, gives one row of null serial
+Defined results: a null cell gives no rows; very long cells are read whole; pages of one number count as they come (ties); an empty one, or one without a whole page, gives one row of null serial
 and codec 'none' with its bytes counted as skipped; a null doc_id is kept as any row; repeated rows are each listed;
 two links of a chain with one serial number are one stream; an empty table gives no rows; extra columns are ignored.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 _REV = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _ZERO = b"\0\0\0\0"
-SCHEMA = "serial long, codec string, rate double, pages int, bad_pages int, gaps int, packets int, torn int, payload_bytes long, payload_md5 string, first_s double, last_s double, ended boolean, skipped_bytes long"
+SCHEMA = "serial long, codec string, rate double, pages int, bad_pages int, gaps int, packets int, torn int, payload_bytes long, payload_md5 string, packet_s array<double>, first_s double, last_s double, ended boolean, skipped_bytes long"
 
 
 def checksum(page: bytes) -> int:
@@ -47,7 +49,7 @@ class Page:
 class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)  # of each page that has one
+    done: list[tuple[int, int, bool]] = field(default_factory=list)  # of each page with a granule: packets so far, granule, whether pages before it are lost
     pages: int = 0
     gaps: int = 0
     torn: int = 0
@@ -55,6 +57,7 @@ class Stream:
     held: list[bytes] | None = None
     next: int | None = None
     behind: bool = False  # in a packet already counted as torn
+    lost: bool = False  # pages since the last granule
 
     def add(self, page: Page) -> None:
         lost = self.next is not None and page.sequence != self.next
@@ -80,8 +83,10 @@ class Stream:
                 begin, size = at, 0
         if page.lacing and page.lacing[-1] == 255 and not (first and skip):
             self.held = [*(self.held or []), page.body[begin:at]]
+        self.lost |= lost
         if page.granule != -1:
-            self.granules.append(page.granule)
+            self.done.append((len(self.packets), page.granule, self.lost))
+            self.lost = False
         self.ended |= bool(page.flags & 4)
 
     def close(self) -> None:
@@ -150,21 +155,51 @@ def seconds(granule: int, rate: float, preskip: int, shift: int) -> float | None
     return max(0, granule - preskip) / rate
 
 
+def opus_samples(packet: bytes) -> int:
+    """The duration that a packet's first bytes tell, at 48 kHz; 0 for a broken one."""
+    if not packet:
+        return 0
+    config, code = packet[0] >> 3, packet[0] & 3
+    each = (480, 960, 1920, 2880)[config & 3] if config < 12 else (480, 960)[config & 1] if config < 16 else (120, 240, 480, 960)[config & 3]
+    return each * ((packet[1] & 63 if len(packet) > 1 else 0) if code == 3 else (1, 2, 2)[code])
+
+
+def times(s: Stream, name: str, headers: int, rate: float, preskip: int, shift: int) -> list[float | None]:
+    """When each packet after the headers ends, in seconds; none where nothing tells."""
+    out: list[float | None] = [None] * len(s.packets)
+    begin, before = headers, 0
+    for end, granule, lost in s.done:
+        fresh = range(max(begin, headers), end)
+        if fresh and name == "opus":
+            at = granule
+            for k in reversed(fresh):
+                out[k] = seconds(at, rate, preskip, shift)
+                at -= opus_samples(s.packets[k])
+        elif fresh:
+            last = seconds(granule, rate, preskip, shift)
+            first = seconds(before, rate, preskip, shift)
+            for n, k in enumerate(fresh, 1):
+                out[k] = None if last is None or (lost and n < len(fresh)) else last - (last - first) * (len(fresh) - n) / len(fresh)
+        begin, before = max(begin, end), granule
+    return out[headers:]
+
+
 def rows(data: bytes) -> list[tuple]:
     """A row a logical stream, as in ``SCHEMA``. The payload is all packets but the codec's headers."""
     streams, bad, skipped = demultiplex(data)
     if not streams:
-        return [(None, "none", None, 0, bad, 0, 0, 0, 0, None, None, None, False, skipped)]
+        return [(None, "none", None, 0, bad, 0, 0, 0, 0, None, None, None, None, False, skipped)]
     out = []
     for s in streams:
         name, rate, preskip, shift = codec(s.packets[0] if s.packets else b"")
-        payload = s.packets[{"opus": 2, "speex": 2, "vorbis": 3, "theora": 3}.get(name, 1 if name in ("flac", "skeleton") else 0) :]
+        headers = {"opus": 2, "speex": 2, "vorbis": 3, "theora": 3}.get(name, 1 if name in ("flac", "skeleton") else 0)
+        payload = s.packets[headers:]
         digest = hashlib.md5()
         for p in payload:
             digest.update(p)
-        times = [seconds(g, rate, preskip, shift) for g in s.granules]
-        times = [t for t in times if t is not None]
-        out.append((s.serial, name, rate or None, s.pages, bad, s.gaps, len(payload), s.torn, sum(map(len, payload)), digest.hexdigest(), min(times, default=None), max(times, default=None), s.ended, skipped))
+        ends = times(s, name, headers, rate, preskip, shift)
+        told = [t for t in ends if t is not None]
+        out.append((s.serial, name, rate or None, s.pages, bad, s.gaps, len(payload), s.torn, sum(map(len, payload)), digest.hexdigest(), ends, min(told, default=None), max(told, default=None), s.ended, skipped))
     return out
 
 
@@ -219,7 +254,7 @@ def write_stream(serial: int, packets: list[bytes], granules: list[int], headers
 
 def opus(serial: int, lines: list[bytes]) -> list[bytes]:
     head = b"OpusHead" + struct.pack("<BBHIhB", 1, 1, 312, 48000, 0, 0)
-    packets = [head, b"OpusTags" + struct.pack("<II", 0, 0), *lines]
+    packets = [head, b"OpusTags" + struct.pack("<II", 0, 0), *(b"\xf8" + x for x in lines)]  # one frame of 20 ms
     return write_stream(serial, packets, [0, 0, *(312 + 960 * (k + 1) for k in range(len(lines)))], 2)
 
 
@@ -238,7 +273,7 @@ def multiplex(*streams: list[bytes]) -> bytes:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, media: each text as an Ogg file of two streams, its lines as Opus packets and its words' lengths, 64 a packet, as Vorbis packets.
+    """doc_id, media: each text as an Ogg file of two streams, its lines as Opus packets (behind a byte that tells 20 ms) and its words' lengths, 64 a packet, as Vorbis packets.
 
     No table has a media column; this makes one of every whole text.
     """
