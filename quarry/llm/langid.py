@@ -1,12 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-A feature is a hashed byte n-gram of the lower-cased text (orders 2 and 3, over whole texts); its value is its
+A feature is a hashed n-gram of characters (code points) of the lower-cased text (orders 2 and 3, over whole texts, however long); its value is its
 share of the text's n-grams times its inverse document frequency among the training rows, so a text's score is linear
 in its occurrences. Weights are fitted by follow-the-regularised-leader (per-coordinate FTRL-Proximal) with
 elastic-net penalties, L1 leaving most of them zero; a temperature fitted on rows held out of
 the training then calibrates the probabilities. At most ``MAX_TRAIN_DOCS`` labelled rows are used to fit.
 
-Defined results: null, empty and one-byte texts get language 'und' with confidence 0; without training rows all do; a
+Defined results: null, empty and one-character texts get language 'und' with confidence 0; without training rows all do; where the training rows have one
+language alone every other text gets it with confidence 1; a
 null doc_id is kept as any row; repeated rows are each scored alike; ties take the first language by name; an
 empty table gives an empty table; extra columns are ignored.
 """
@@ -22,26 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._spark import label_sample
-from quarry.llm._text import as_strings, chunks, mix, raw
+from quarry.llm._text import as_strings, chunks, raw
 
 MAX_TRAIN_DOCS = 2000
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 
 
-def _grams(column: pa.Array, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the bucket of the n-gram at each byte, and n-grams a row; grams that cross rows have bucket -1."""
+def _grams(column: pa.Array, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the bucket of the n-gram at each character, n-grams a row, and whether the n-gram lies inside one row."""
     body, offsets = raw(pc.utf8_lower(as_strings(column)))
-    wide = body.astype(np.uint32)
+    wide = np.frombuffer(body.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.append(0, np.cumsum((body & 0xC0) != 0x80))  # characters before each byte
+    offsets = begins[offsets]
     out = []
     for n in ORDERS:
         size = np.diff(offsets)
         count = np.maximum(0, size - n + 1)
-        total = max(0, len(body) - n + 1)
+        total = max(0, len(wide) - n + 1)
         key = np.zeros(total, np.uint32)
         for k in range(n):
-            key = key * np.uint32(256) + wide[k : k + total] if k else wide[:total].copy()
-        key = ((key * np.uint32(0x9E3779B1)) >> np.uint32(16)) if n > 2 else key
+            key = key * np.uint32(0x01000193) + wide[k : k + total]
+        key = (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
         inside = np.ones(total, bool)
         for k in range(1, n):
             at = offsets[1:-1] - k
