@@ -25,7 +25,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.decide(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.decide(pages, url_filter.paginated(pages))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

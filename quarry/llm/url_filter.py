@@ -8,7 +8,11 @@ component, else any blocked member blocks it.
 
 Defined results: a null or empty URL has no normal form, takes no part in edges and gets verdict 'none'; null html
 declares no edge; of long html all is read; repeated rows are each listed; a null page_id is kept; an empty
-table gives no rows; extra columns are ignored; relative targets of canonical links resolve against the host, others are ignored.
+table gives no rows; extra columns are ignored; relative targets resolve against the page's URL, whose scheme they take; entities of
+``&`` in a target are decoded; of several canonical links or refreshes the first counts; members of a component with several allowed or
+blocked ones (ties) have one verdict all the same.
+
+No given page declares an edge, so the query adds those that pagination implies (``paginated``).
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import urls as U
 from quarry.llm._graph import components
 from quarry.llm._spark import checkpoint
 
@@ -46,12 +51,16 @@ def declared(pages: DataFrame) -> DataFrame:
     link = F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]+)""", 1))
     meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>""", 0)
     refresh = F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(meta, r"""(?is)\burl\s*=\s*['"]?([^"'>\s]+)""", 1))
-    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    some = pages.where("url is not null and html is not null").select("url", root.alias("root"), F.explode(F.array(link, refresh)).alias("to")).where("length(to) > 0")
-    to = F.when(F.col("to").rlike(r"^//"), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat("root", "to")).when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
+    some = pages.where("url is not null and html is not null").select("url", F.explode(F.array(link, refresh)).alias("to")).where("length(to) > 0")
+    to = U.resolve(F.trim("url"), F.regexp_replace("to", r"(?i)&(amp|#38|#x26);", "&"))
     return some.select(normal(F.col("url")).alias("a"), normal(to).alias("b")).where("a is not null and b is not null")
 
 
+def paginated(pages: DataFrame) -> DataFrame:
+    """from, to: each URL with a query and the same without: a further page of a listing leads back to the first."""
+    return pages.where(F.contains("url", F.lit("?"))).select(F.col("url").alias("from"), F.regexp_extract("url", r"^([^?#]*)", 1).alias("to"))
+
+
 def _any(where: Column, rules: Sequence[str]) -> Column:
     return where.rlike("(?i)" + "|".join(f"(?:{r})" for r in rules)) if rules else F.lit(False)
 
@@ -88,10 +97,16 @@ WITH RECURSIVE u AS (SELECT page_id, url, {_sql_normal("url")} AS s FROM pages),
 h AS (SELECT page_id, url, regexp_replace(regexp_replace(lower(regexp_extract(s, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
   regexp_replace(regexp_extract(regexp_extract(s, '^[^/?]*(.*)$', 1), '^([^?]*)', 1), '(/index)?(\.html?)?/*$', '') AS path, regexp_extract(s, '(\?.*)$', 1) AS query FROM u),
 n AS (SELECT page_id, url, CASE WHEN length(host) > 0 THEN host || path || query END AS node FROM h),
-t AS (SELECT p.url, regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>', 0), '(?is)href\s*=\s*["'']?(https?://[^"''>\s]+)', 1) AS dst FROM pages p),
-k AS (SELECT url, {_sql_normal("dst")} AS s FROM t WHERE length(dst) > 0),
-d AS (SELECT n.node AS a, regexp_replace(regexp_replace(lower(regexp_extract(s, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
-  || regexp_replace(regexp_extract(regexp_extract(s, '^[^/?]*(.*)$', 1), '^([^?]*)', 1), '(/index)?(\.html?)?/*$', '') || regexp_extract(s, '(\?.*)$', 1) AS b FROM k JOIN n USING (url)),
+t AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>', 0), '(?is)href\s*=\s*["'']?([^"''>\s]+)', 1) AS dst FROM pages
+  UNION ALL SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>', 0), '(?is)url\s*=\s*[''"]?([^"''>\s]+)', 1) FROM pages),
+f AS (SELECT url, replace(dst, '&amp;', '&') AS dst, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM t WHERE length(dst) > 0),
+g AS (SELECT url, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN dst WHEN starts_with(dst, '//') THEN scheme || dst WHEN starts_with(dst, '/') THEN root || dst
+  WHEN starts_with(dst, '?') THEN root || path || dst ELSE root || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || dst END AS dst FROM f
+  UNION ALL SELECT url, regexp_extract(url, '^([^?#]*)', 1) FROM pages WHERE contains(url, '?')),
+k AS (SELECT url, {_sql_normal("dst")} AS s FROM g),
+d AS (SELECT DISTINCT a, b FROM (SELECT n.node AS a, regexp_replace(regexp_replace(lower(regexp_extract(s, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+  || regexp_replace(regexp_extract(regexp_extract(s, '^[^/?]*(.*)$', 1), '^([^?]*)', 1), '(/index)?(\.html?)?/*$', '') || regexp_extract(s, '(\?.*)$', 1) AS b FROM k JOIN n USING (url)) WHERE a <> b),
 e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
 r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
 own AS (SELECT node, CASE WHEN regexp_matches(lower(node), '/(about|contact|imprint)(/|$)') THEN 2

@@ -139,6 +139,26 @@ def test_language_held_out_and_calibrated():
     assert a[1][0] == pytest.approx(b[1][2])
 
 
+def test_language_scores_are_those_of_characters():
+    """Against a plain reading of the definition: weights of the character n-grams, by their shares."""
+    rows = [("en", "the cat and the dog went over there with them"), ("fr", "l'été où la forêt s'éveille après l'hiver")] * 10
+    model = langid.fit(rows)
+    texts = ["the été", "ñandú 漢字 \U0001f600", "", "x", "là-bas là-bas", "a" * 5000]
+
+    def bucket(gram):
+        key = 0
+        for c in gram:
+            key = (key * 0x01000193 + ord(c)) % 2**32
+        return (((key * 0x9E3779B1) % 2**32 >> 16) ^ (len(gram) * 0x2B5)) % langid.BUCKETS
+
+    z, n = model.logits(pa.array(texts))
+    for t, got, many in zip(texts, z, n, strict=True):
+        grams = [t[i : i + k] for k in langid.ORDERS for i in range(len(t) - k + 1)]
+        assert many == len(grams)
+        want = model.bias + sum((model.folded[bucket(g)].astype(float) for g in grams), np.zeros(2)) / max(1, len(grams))
+        assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_sharding_keeps_sizes_and_cuts_less(spark):
     rng = random.Random(1)
     line = lambda g: f"this passage of group {g} is shared by all"
@@ -225,6 +245,34 @@ def test_url_decisions_reach_aliases(spark):
     assert url_filter.decide(pages.limit(0)).count() == 0
 
 
+def test_url_edges_of_every_form(spark):
+    link = lambda to: f"<LINK href='{to}' rel=canonical>"
+    want = {"https://a.org/x/y.html": {"q.html": "a.org/x/q", "../z/": "a.org/z", "?p=2&amp;q=1": "a.org/x/y.html?p=2&q=1", "//b.org/u": "b.org/u", "/v?utm_source=f": "a.org/v", "http://www.c.org/w/index.html": "c.org/w"}}
+    for url, targets in want.items():
+        pages = spark.createDataFrame([(k, url, link(t)) for k, t in enumerate(targets)], "page_id long, url string, html string")
+        got = {r.b for r in url_filter.declared(pages).collect()}
+        assert got == {v.replace("y.html?", "y?") for v in targets.values()}
+    pages = spark.createDataFrame([(1, "https://a.org/l?page=2", None), (2, "https://a.org/l/", None), (2, "https://a.org/l/", None), (3, "https://b.org/cart?x=1", "y" * 300_000), (4, "https://b.org/cart?x=2", None)], "page_id long, url string, html string")
+    rows = sorted(tuple(r) for r in url_filter.decide(pages, url_filter.paginated(pages)).select("page_id", "canonical", "verdict").collect())
+    assert rows == [(1, "a.org/l", "none"), (2, "a.org/l", "none"), (2, "a.org/l", "none"), (3, "b.org/cart", "block"), (4, "b.org/cart", "block")]
+
+
+def test_url_query_has_components(spark):
+    rows = QUERIES["op4_url_filter"](spark, SMALL).collect()
+    assert sum(url_filter_node(r.url) != r.canonical for r in rows) > 0
+
+
+def url_filter_node(url):
+    """The normal form, by hand."""
+    import re
+
+    u = re.sub(r"#.*$", "", url.strip())
+    u = re.sub(r"(?i)([?&])(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&#]*", r"\1", u)
+    u = re.sub(r"([?&])&+", r"\1", re.sub(r"[?&]+$", "", u))
+    host, path, query = re.match(r"[a-z]+://([^/?]*)([^?]*)(.*)$", u).groups()
+    return re.sub(r"^(www|m)\.", "", re.sub(r":(80|443)$", "", host.lower())) + re.sub(r"(/index)?(\.html?)?/*$", "", path) + query
+
+
 def test_crf_marginals_are_exact_on_trees_and_close_on_loops(models):
     m = models["pii"]
     for text, tolerance in (("call +1 (212) 555-1234 now at 12:30", 1e-6), ("a 12345678 b 12345678 c 99 12345678 77", 0.05)):
@@ -326,14 +374,69 @@ def test_ogg_round_trip_and_damage():
     assert ogg.seconds(312 + 48000, 48000.0, 312, 0) == 1.0 and ogg.seconds((5 << 6) | 3, 4.0, 0, 6) == 2.0 and ogg.seconds(9, 0.0, 0, 0) is None
 
 
+def read_ogg(data):
+    """An independent reader: no checksums, whole files only; serial -> packets and (packets so far, granule)."""
+    crc = [0] * 256
+    for i in range(256):
+        c = i << 24
+        for _ in range(8):
+            c = (c << 1) ^ (0x04C11DB7 if c & 0x80000000 else 0)
+        crc[i] = c & 0xFFFFFFFF
+    streams, at = {}, 0
+    while at < len(data):
+        assert data[at : at + 4] == b"OggS"
+        n = data[at + 26]
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        c = 0
+        for k, v in enumerate(data[at:end]):
+            c = ((c << 8) & 0xFFFFFFFF) ^ crc[(c >> 24) ^ (0 if 22 <= k < 26 else v)]
+        assert c == int.from_bytes(data[at + 22 : at + 26], "little")
+        packets, held, ends = streams.setdefault(int.from_bytes(data[at + 14 : at + 18], "little"), ([], [], []))
+        body = at + 27 + n
+        for v in data[at + 27 : at + 27 + n]:
+            held.append(data[body : body + v])
+            body += v
+            if v < 255:
+                packets.append(b"".join(held))
+                held.clear()
+        granule = int.from_bytes(data[at + 6 : at + 14], "little", signed=True)
+        if granule != -1:
+            ends.append((len(packets), granule))
+        at = end
+    return {k: (p, e) for k, (p, _, e) in streams.items()}
+
+
 def test_ogg_query_gives_the_texts_back(spark):
     import hashlib
 
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    rows = {r.doc_id: r for r in QUERIES["op6_ogg"](spark, SMALL).where("serial = 1").collect()}
-    for k, t in docs.items():
-        assert rows[k].payload_md5 == hashlib.md5(t.encode().replace(b"\n", b"")).hexdigest() and rows[k].packets == t.count("\n") + 1
-        assert rows[k].last_s == pytest.approx(0.02 * rows[k].packets)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    files = {r.doc_id: read_ogg(r.media) for r in ogg.from_documents(docs).limit(40).collect()}
+    rows = {(r.doc_id, r.serial): r for r in QUERIES["op6_ogg"](spark, SMALL).collect()}
+    for k, t in texts.items():
+        r = rows[k, 1]
+        lines = t.encode().split(b"\n")
+        assert r.payload_md5 == hashlib.md5(b"".join(b"\xf8" + x for x in lines)).hexdigest() and r.packets == len(lines)
+        assert r.packet_s == pytest.approx([0.02 * (n + 1) for n in range(len(lines))]) and r.first_s == pytest.approx(0.02) and r.last_s == pytest.approx(0.02 * len(lines))
+    for k, streams in files.items():
+        for serial, headers, scale in ((1, 2, lambda g: (g - 312) / 48000), (2, 3, lambda g: g / 44100)):
+            packets, ends = streams[serial]
+            r = rows[k, serial]
+            assert r.payload_md5 == hashlib.md5(b"".join(packets[headers:])).hexdigest()
+            assert all(r.packet_s[n - 1 - headers] == pytest.approx(scale(g)) for n, g in ends if n > headers)
+
+
+def test_ogg_times_of_packets():
+    sizes = [0xF8, 0xF9, 0xFB]  # 20 ms; two frames; as many as the next byte tells
+    assert [ogg.opus_samples(bytes([b, 3])) for b in sizes] == [960, 1920, 2880] and ogg.opus_samples(b"") == 0
+    assert ogg.opus_samples(b"\x00") == 480 and ogg.opus_samples(b"\x18") == 2880 and ogg.opus_samples(b"\x60") == 480 and ogg.opus_samples(b"\x80") == 120
+    data = b"".join(ogg.opus(5, [b"x" * 900] * 12))
+    (row,) = ogg.rows(data)
+    assert row[10] == pytest.approx([0.02 * k for k in range(1, 13)])
+    # a lost page: packets after it keep their times, since pages tell them
+    pages = ogg.opus(5, [b"x" * 900] * 40)
+    (row,) = ogg.rows(b"".join(pages[:4] + pages[5:]))
+    assert row[5] == 1 and row[7] >= 1 and row[10][-1] == pytest.approx(0.8) and sorted(row[10]) == row[10]
 
 
 def optimum(sizes, capacity):
