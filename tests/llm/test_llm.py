@@ -642,3 +642,35 @@ def test_pipeline_stages(spark):
             assert got == sums
         docs = out
     assert "pipeline" in entry.queries()
+
+
+def test_pipeline_runs_on_awkward_and_empty_tables(spark, awkward, tmp_path):
+    labels = spark.createDataFrame([(4, 0, 1), (6, 1, 0), (7, 1, 0), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("some", awkward), ("none", awkward.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {"doc_id", "piece", "tokens", "sequence", "start"} <= set(rows[0].asDict())
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.sequence, []).append((r.start, r.start + r.tokens))
+    for x in spans.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:], strict=False)) and x[-1][1] <= packing.CAPACITY
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    # without the label table's columns for other languages or sources
+    bare = awkward.select("doc_id", "text")
+    assert toxicity.train(bare, labels).classes and mixing.train(bare, labels).domains
+
+
+def test_sharding_rounds_stay_cheap(spark):
+    """Each round costs about the same: no plan grows with their number."""
+    import time
+
+    docs = spark.createDataFrame([(i, f"a line that is shared by group {i % 12} of all\nwords of {i} alone") for i in range(240)], "doc_id long, text string")
+    took = []
+    for rounds in (4, 12):
+        began = time.perf_counter()
+        sharding.shard(docs, shards=5, slack=0.1, rounds=rounds).count()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 6 * took[0]
