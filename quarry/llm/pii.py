@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm._text import _BYTE, _POW, as_strings, chunks, mix, raw
+from quarry.llm._text import _BYTE, as_strings, chunks, mix, raw
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN", "NAME")
 NEAR = 4  # tokens after a cue
@@ -46,6 +46,7 @@ _LETTER = np.zeros(256, np.uint8)  # of a letter its lower case, else 0
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
+_LETTERS = np.where(_LETTER > 0, _BYTE[_LETTER], np.uint64(0))
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _CLASS = re.compile(rb"([0-9]+)|([a-z\x80-\xff]+)|([A-Z]+)|(.)", re.S)
@@ -171,17 +172,13 @@ _CUES = _SECRET_CUES | _NAME_CUES | {b"phone", b"tel", b"call", b"mobile", b"fax
 
 
 def _words(body: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A hash of the letters of each token, whatever their case and what else is in it; 0 without letters."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    letter = _LETTER[body]
-    is_letter = letter > 0
-    place = np.cumsum(is_letter)
-    base = np.where(start > 0, place[np.maximum(start, 1) - 1], 0)
-    place -= np.repeat(base, np.diff(np.append(start, len(body)))) if start[0] == 0 else np.concatenate([np.zeros(start[0], np.int64), np.repeat(base, np.diff(np.append(start, len(body))))])
-    value = np.where(is_letter, _BYTE[letter] * _POW[place & 4095], np.uint64(0))
-    total = np.add.reduceat(value, start)
-    return np.where(total > 0, mix(total), total)
+    """A hash of the letters of each token in any order, whatever their case and what else is in it; 0 without letters."""
+    return np.add.reduceat(_LETTERS[body], start) if len(start) else np.zeros(0, np.uint64)
+
+
+def _count(marked: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many of the ``marked`` bytes (all in tokens, and few) each token has."""
+    return np.bincount(np.searchsorted(start, marked, side="right") - 1, minlength=len(start))
 
 
 def _cue_hashes() -> np.ndarray:
@@ -205,36 +202,35 @@ class Graph:
     place: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    feature: np.ndarray  # flat
-    owner: np.ndarray
+    feature: np.ndarray | None  # flat
+    owner: np.ndarray | None
     chain: np.ndarray  # (n, 2), neighbours in order
     same: np.ndarray
     alike: np.ndarray
-    lone: np.ndarray  # (variables, 2): whether the token before, after is no variable
+    lone: np.ndarray | None  # (variables, 2): whether the token before, after is no variable
 
 
 def variables(body: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The tokens that can be other than outside: with a digit or ``@``, long, of mixed case, soon after a cue, or a repetition of one of these."""
     if not len(start):
         return np.zeros(0, np.int64)
-    sums = lambda x: np.append(0, np.cumsum(x, dtype=np.int64))
-    upper = sums(_UPPER[body])
-    hint = sums(_HINT[body])
+    upper = _count(np.flatnonzero(_UPPER[body]), start)
+    hint = _count(np.flatnonzero(_HINT[body]), start)
     first = _UPPER[body[start]]
     word = _words(body, start)
-    pick = (hint[end] > hint[start]) | (end - start >= LONG)
-    inner = upper[end] - upper[start] - first
+    pick = (hint > 0) | (end - start >= LONG)
+    inner = upper - first
     mixed = (inner > 0) & (end - start >= 8) & (inner < end - start - 2)
     cue = np.isin(word, _cue_hashes())
     assigned = cue & (end - start > 8)  # password:value in one token
     near = np.zeros(len(start), bool)
     for k in range(1, NEAR + 1):
         near[k:] |= cue[:-k] & (row[k:] == row[:-k])
-    head = (end - start == 4) & (upper[end] - upper[start] == 2) & (hint[end] - hint[start] == 2)  # of an IBAN in groups
+    head = (end - start == 4) & (upper == 2) & (hint == 2)  # of an IBAN in groups
     for k in (1, 2):
         near[k:] |= head[:-k] & (row[k:] == row[:-k])
     pick |= mixed | near | assigned
-    again = np.flatnonzero((mixed | near | (end - start >= LONG)) & (hint[end] == hint[start]) & (first | (end - start >= 6)) & (word > 0))
+    again = np.flatnonzero((mixed | near | (end - start >= LONG)) & (hint == 0) & (first | (end - start >= 6)) & (word > 0))
     if len(again):
         key = mix(word ^ row.astype(np.uint64))
         pick |= np.isin(key, key[again])
@@ -328,9 +324,9 @@ class Crf:
             w += [np.broadcast_to(p, (len(e), *p.shape)), np.broadcast_to(p.T, (len(e), *p.shape))]
         return np.concatenate(a), np.concatenate(b), np.concatenate(w)
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS, damping: float = 0.3) -> np.ndarray:
+    def marginals(self, g: Graph, own: np.ndarray | None = None, rounds: int = ROUNDS, damping: float = 0.3) -> np.ndarray:
         """Log marginals by loopy belief propagation; exact where the graph has no loop."""
-        own = self.scores(g)
+        own = self.scores(g) if own is None else own
         if not len(own):
             return own
         # edges come in blocks of (there, back) of one kind: where each edge's reverse is
@@ -354,7 +350,32 @@ class Crf:
         return belief - _logsumexp(belief, 1)[:, None]
 
     def label(self, g: Graph) -> np.ndarray:
-        return self.marginals(g).argmax(1) if len(g.row) else np.zeros(0, np.int64)
+        """The labels of greatest marginals.
+
+        No message can raise a label over outside by more than its potential's greatest difference. Where a variable's own score is out of reach of all its
+        neighbours' messages together it is outside; messages are passed among the others and their neighbours.
+        """
+        if not len(g.row):
+            return np.zeros(0, np.int64)
+        own = self.scores(g)
+        reach = np.zeros(len(own))
+        kinds = ("chain", "same", "alike")
+        for kind in kinds:
+            e, p = getattr(g, kind), self.pair[kind]
+            for at, w in ((e[:, 1], p), (e[:, 0], p.T)):
+                reach += np.bincount(at, minlength=len(own)) * max(0.0, float((w[:, 1:] - w[:, :1]).max()))
+        open_ = own[:, 0] - own[:, 1:].max(1) <= reach
+        keep = open_.copy()
+        for kind in kinds:
+            a, b = getattr(g, kind).T
+            keep[a[open_[b]]] = True
+            keep[b[open_[a]]] = True
+        out = np.zeros(len(own), np.int64)
+        if keep.any():
+            new = np.cumsum(keep) - 1
+            some = {k: new[getattr(g, k)[keep[getattr(g, k)].all(1)]].reshape(-1, 2) for k in kinds}
+            out[keep] = self.marginals(Graph(g.row[keep], g.place[keep], g.start[keep], g.end[keep], None, None, some["chain"], some["same"], some["alike"], None), own[keep]).argmax(1)
+        return out
 
 
 def training_set(n: int = 900, seed: int = 11) -> tuple[list[str], list[list[tuple[int, int, str]]]]:

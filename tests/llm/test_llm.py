@@ -298,6 +298,7 @@ def test_pii_held_out_and_consistent(trained_pii):
     some = np.zeros(len(z), int)
     some[g.place] = m.label(g)
     assert len(g.row) < 0.5 * len(z) and (some == z).mean() > 0.999 and (y[np.setdiff1d(np.arange(len(y)), g.place)] > 0).sum() <= 0.01 * (y > 0).sum()
+    assert (m.label(g) == m.marginals(g).argmax(1)).mean() > 0.999
     # the second place has no context of its own: the first decides
     key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
     found, _ = pii.entities(m, pa.array([f'token = "{key}" and ' + "plain words " * 300 + f"then {key} again"]))
