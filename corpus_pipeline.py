@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, ngram_jaccard, packing, pii, toxicity
-from quarry.llm._spark import shared_folder, table
+from quarry.llm._spark import shared_folder, small_batches, table
 
 # Each stage gives the columns of documents, packing apart. In all of them null, empty and very long texts, null and repeated ids, repeated rows and
 # extra columns are rows like any other, and an empty table gives an empty table; what a case results in, a stage's module says.
@@ -21,11 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, by the least id (null ids last, one of tied rows); texts without words are in no class and stay."""
+    small_batches(spark)
     return ngram_jaccard.keep_one(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and secrets replaced by their labels; of a changed text ``n_chars`` is the new length."""
+    small_batches(spark)
     return pii.redact(docs, pii.train())
 
 
