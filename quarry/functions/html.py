@@ -211,7 +211,10 @@ def native_title(html: Column) -> Column:
 
 
 def native_hrefs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)\""""), F.lit(1)), lambda h: F.trim(h))
+    """T3, native: the href of each ``a``, in double or single quotes or bare."""
+    attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?is)<a(?=\s){attributes}\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda h: F.trim(F.when(h.rlike("^[\"']"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h)))
 
 
 def extract(pages: DataFrame, selectors=CONTENT, skip=SKIP, thin: int = 200, short: int = 80) -> DataFrame:

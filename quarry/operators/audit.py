@@ -124,3 +124,80 @@ def engine_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def unstable(texts: DataFrame, column: str = "text") -> DataFrame:
     """Q14: rows that minification would change."""
     return texts.where(M.minify(F.col(column)) != F.col(column))
+
+
+def doctor_order(rows: DataFrame) -> DataFrame:
+    """Most assets first, then by name."""
+    return rows.orderBy(F.desc("assets"), "slug")
+
+
+def outdated_order(rows: DataFrame, by_age: bool = False) -> DataFrame:
+    """By pages, or by snapshot with unknown ones last; then by name."""
+    return rows.orderBy(F.asc_nulls_last("snapshot") if by_age else F.asc("pages"), "slug")
+
+
+def behind_only(rows: DataFrame) -> DataFrame:
+    """F22"""
+    return rows.where(F.col("status") == "BEHIND")
+
+
+def inventory_order(rows: DataFrame) -> DataFrame:
+    """By all columns, from the left."""
+    return rows.orderBy(*rows.columns)
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """Slug, newest (time of its newest page)."""
+    return with_page_flags(files).where("is_counted_page").groupBy("slug").agg(F.max("mtime").alias("newest"))
+
+
+def date_label(time: Column) -> Column:
+    """The day, in the session's time zone; a dash for none."""
+    return F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit("-"))
+
+
+def registry_counts(rows: DataFrame) -> DataFrame:
+    """Slugs, and how many of each state of their source."""
+    states = ("url", "other", "recovered", "lost")
+    return rows.agg(F.count(F.lit(1)).alias("slugs"), *[F.count_if(F.col("state") == s).alias(s) for s in states])
+
+
+def url_state_counts(states: DataFrame) -> DataFrame:
+    """State, n; ``states``: status, final, url of each probe."""
+    return states.select(url_state(F.col("status"), F.col("final"), F.col("url")).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIELD = r"(?mi)^{}:\s*(.+?)\s*$"
+
+
+def silos(files: DataFrame, store: str) -> DataFrame:
+    """Slug, path, source, pages of each folder outside ``store`` whose INDEX.md names its source; ``files``: path, content.
+
+    Folders below version control, dependencies and the tool's own state are none.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    plain = F.regexp_replace(folder, r"^file:/+", "/")
+    home = store.rstrip("/")
+    parts = F.split(plain, "/")
+    f = files.select(plain.alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(~((plain == home) | F.startswith(plain, F.lit(home + "/"))) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in (".git", "node_modules", ".venv", ".llmdocs")])))
+    index = f.where(F.col("name") == "INDEX.md").select("folder", known_source(F.regexp_extract("content", _FIELD.format("Source"), 1)).alias("source")).where("source is not null")
+    # a page counts for each folder above it
+    pages = f.where(~F.col("name").isin("INDEX.md", "COMPACT.md", "LOOKUP.md")).select("folder", F.split("folder", "/").alias("p"))
+    above = pages.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", F.lit(1), k), "/"))).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("pages"))
+    return index.join(above, "folder", "left").select(F.element_at(F.split("folder", "/"), -1).alias("slug"), F.col("folder").alias("path"), "source", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+def archived(files: DataFrame) -> DataFrame:
+    """Slug, path, source, fetched, mtime of each copy ``slug@...`` whose INDEX.md names its source; ``files``: ``store.scan`` of the store's ``.archive``."""
+    f = files.where((F.col("rel") == "INDEX.md") & F.contains("slug", F.lit("@"))).select(F.col("slug").alias("name"), "content", "mtime")
+    return f.select(F.substring_index("name", "@", 1).alias("slug"), F.col("name").alias("path"), known_source(F.regexp_extract("content", _FIELD.format("Source"), 1)).alias("source"), F.regexp_extract("content", _FIELD.format("Fetched"), 1).alias("fetched"), "mtime").where("source is not null")
+
+
+def compare_engines(files: DataFrame, reference: str) -> DataFrame:
+    """Engine, files, index, ok, assets, only (files that ``reference`` lacks); ``files``: engine, rel, name, content."""
+    f = with_page_flags(files)
+    entries = F.size(F.filter(F.split("content", r"\R"), lambda x: F.startswith(x, F.lit("- ["))))
+    rows = f.groupBy("engine").agg(F.count_if("is_counted_page").alias("files"), F.coalesce(F.max(F.when(F.col("rel") == "INDEX.md", entries)), F.lit(0)).alias("index"), F.count_if(U.is_asset_file(F.col("name"))).alias("assets"))
+    pages = f.where("is_counted_page").select("engine", "rel").distinct()
+    only = pages.join(pages.where(F.col("engine") == reference).select("rel"), "rel", "left_anti").groupBy("engine").agg(F.count(F.lit(1)).alias("only"))
+    return rows.join(only, "engine", "left").select("engine", "files", "index", (F.col("files") == F.col("index")).alias("ok"), "assets", F.coalesce("only", F.lit(0)).alias("only"))

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
 from quarry.functions import urls as U
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quarry-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _local_folder()
+    return where.rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read again, which cuts the lineage and the plan's size estimate."""
+    path = f"{shared_folder(df.sparkSession)}/quarry-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def edges(pages: DataFrame, pattern: str | None = None, same_host: bool = True, hrefs: Column | None = None) -> DataFrame:
@@ -45,19 +63,19 @@ def first_per_file(urls: DataFrame, order: list[Column]) -> DataFrame:
     return urls.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def crawl(links: DataFrame, start: str, prefix: str = "", max_depth: int = 4, max_pages: int = 200, bridge_hops: int = 1, cap_mode: str = "intent") -> DataFrame:
+def crawl(links: DataFrame | Callable[[DataFrame], DataFrame], start: str, prefix: str = "", max_depth: int = 4, max_pages: int = 200, bridge_hops: int = 1, cap_mode: str = "intent") -> DataFrame:
     """Url, depth, budget, saved, wave of every page reached.
 
-    ``links``: src, pos, dst. A page at ``max_depth`` gives no links. Links under ``prefix`` go one deeper and renew the
+    ``links``: src, pos, dst, of all pages, or a function that fetches a wave (a column url, ``max_pages`` rows at most) and gives its links. A page at ``max_depth`` gives no links. Links under ``prefix`` go one deeper and renew the
     budget; others use it up at the same depth. A file is claimed by its first discovery, in order of the
     parent and the place of the link, links under the prefix first. ``cap_mode``: 'intent' admits ``max_pages``
     pages; 'reference' counts each new link of a wave twice and leaves out a wave that fills the cap exactly.
     """
-    spark = links.sparkSession
+    spark = SparkSession.getActiveSession() if not isinstance(links, DataFrame) else links.sparkSession
     pre = F.lit(prefix)
     row = spark.createDataFrame([(start, 0, bridge_hops, 0, 0)], "url string, depth int, budget int, wave int, ord long").withColumn("url", U.drop_fragment(F.col("url")))
     seen = _cut(row.withColumn("file_key", U.file_key(F.col("url"))))
-    links = links.select("src", "pos", U.drop_fragment(F.col("dst")).alias("url"))
+    links_of = _every(links) if isinstance(links, DataFrame) else links
     wave, count = 0, 1
     while True:
         room = max_pages - count
@@ -69,12 +87,15 @@ def crawl(links: DataFrame, start: str, prefix: str = "", max_depth: int = 4, ma
         elif room <= 0:
             break
         front = seen.where((F.col("wave") == wave) & (F.col("depth") < max_depth))
-        found = front.select(F.col("url").alias("src"), F.col("depth").alias("d"), F.col("budget").alias("b"), F.col("ord").alias("o")).join(links, "src")
+        front = front.select(F.col("url").alias("src"), F.col("depth").alias("d"), F.col("budget").alias("b"), F.col("ord").alias("o"))
+        known = links_of(front.select(F.col("src").alias("url"))).select("src", "pos", U.drop_fragment(F.col("dst")).alias("url"))
+        found = front.join(known, "src")
         inside = U.in_prefix(F.col("url"), pre)
         found = found.select("url", "o", "pos", inside.alias("inside"), F.when(inside, F.col("d") + 1).otherwise(F.col("d")).alias("depth"), F.when(inside, bridge_hops).otherwise(F.col("b") - 1).alias("budget"), U.file_key(F.col("url")).alias("file_key")).where("inside or budget >= 0")
         new = found.join(seen.select("file_key"), "file_key", "left_anti").join(seen.select("url"), "url", "left_anti")
         new = first_per_file(new, [F.col("o"), F.col("pos"), F.col("url")])
-        ranked = new.withColumn("ord", F.row_number().over(Window.orderBy(F.col("inside").desc(), "o", "pos", "url")).cast("long")).where(F.col("ord") <= room)  # a wave is bounded by max_pages
+        some = new.orderBy(F.col("inside").desc(), "o", "pos", "url").limit(room)  # each task keeps its first ``room``, then one merges them
+        ranked = some.withColumn("ord", F.row_number().over(Window.orderBy(F.col("inside").desc(), "o", "pos", "url")).cast("long"))
         wave += 1
         new = _cut(ranked.select("url", "depth", "budget", F.lit(wave).alias("wave"), "ord", "file_key"))
         n = new.count()
@@ -85,6 +106,10 @@ def crawl(links: DataFrame, start: str, prefix: str = "", max_depth: int = 4, ma
     return seen.select("url", "depth", "budget", U.in_prefix(F.col("url"), pre).alias("saved"), "wave")
 
 
+def _every(links: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda front: links
+
+
 def ladder(targets: DataFrame, raw: DataFrame, twin: DataFrame, page: DataFrame) -> DataFrame:
     """The first of raw Markdown, its ``.md`` twin and the rendered page that has a body. All have url, markdown."""
     a, b, c = (d.select("url", F.col("markdown").alias(n)) for d, n in ((raw, "_raw"), (twin, "_twin"), (page, "_page")))

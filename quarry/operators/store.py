@@ -114,7 +114,7 @@ def lookup_build(files: DataFrame) -> DataFrame:
 
 
 def lookup_merge(existing: DataFrame, new: DataFrame, lib: str) -> DataFrame:
-    """``existing`` lines of other libraries and the well-formed ``new`` ones, each once; order by (lower(lib), line) as ``ord``."""
+    """``existing`` lines of other libraries and the well-formed ``new`` ones, each once: lib (in small letters), line; ``lookup_order`` sorts them."""
     kept = existing.where("trim(line) <> ''").select(F.rtrim("line").alias("line")).where(F.lower(M.lib_of(F.col("line"))) != lib.lower())
     fresh = new.where("trim(line) <> ''").select(F.rtrim("line").alias("line")).where(F.contains("line", F.lit("|"))).distinct()
     return kept.unionByName(fresh).select(F.lower(M.lib_of(F.col("line"))).alias("lib"), "line")
@@ -125,9 +125,48 @@ def malformed(new: DataFrame) -> DataFrame:
     return new.where((F.trim("line") != "") & ~F.contains("line", F.lit("|")))
 
 
-def append_new(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """J6, by equal lines: ``new`` lines that aren't there yet."""
-    return new.select("line").distinct().join(existing.select("line"), "line", "left_anti")
+def lookup_order(rows: DataFrame) -> DataFrame:
+    """O2: by library, whatever its case, then by line, in the order of code points."""
+    return rows.orderBy("lib", "line")
+
+
+def append_new(existing: DataFrame, new: DataFrame, width: int = 12) -> DataFrame:
+    """``new`` lines, each once, that no existing line contains.
+
+    In place of trying all pairs, lines meet at windows of ``width`` characters: the first of the new line, any of the old; what is shorter than
+    a window meets at windows of its own length. Only pairs that meet are compared.
+    """
+    fresh = new.select("line").distinct().where("line <> ''").withColumn("w", F.least(F.length("line"), F.lit(width)))
+    lengths = fresh.select("w").distinct()  # ``width`` rows at most
+    old = existing.where("line <> ''").select(F.col("line").alias("old")).distinct().join(F.broadcast(lengths), F.length("old") >= F.col("w"))
+    windows = old.select("old", "w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("old") - F.col("w") + 1), lambda k: F.substring("old", k, F.col("w"))))).alias("k"))
+    held = fresh.withColumn("k", F.substring("line", F.lit(1), F.col("w"))).join(windows, ["w", "k"]).where(F.contains("old", F.col("line"))).select("line").distinct()
+    return fresh.select("line").join(held, "line", "left_anti")
+
+
+def distinct_libs(lines: DataFrame) -> DataFrame:
+    """A4: how many libraries the lines name, whatever their case."""
+    return lines.where(F.contains("line", F.lit("|"))).agg(F.countDistinct(F.lower(M.lib_of(F.col("line")))).alias("libs"))
+
+
+def compact_tokens(files: DataFrame) -> DataFrame:
+    """Slug, compact (tokens of its COMPACT.md, one at least; null without)."""
+    return files.groupBy("slug").agg(F.max(F.when(F.col("rel") == "COMPACT.md", M.tokens_at_least_one(F.col("content")))).alias("compact"))
+
+
+def dashboard_drift(lines: DataFrame, saved: DataFrame) -> DataFrame:
+    """Q1's check: the dashboard's lines that the saved file (column content) lacks; none if it is up to date."""
+    have = saved.select(F.explode(F.split("content", "\n")).alias("line"))
+    return lines.select("line").join(have, "line", "left_anti")
+
+
+def distill_candidates(pages: DataFrame, most: int = 8) -> DataFrame:
+    """Q17's choice of files: slug, ord, tokens of the ``most`` largest pages of each library; ties by ``ord``. The top of each group is an aggregate, not a sort of it."""
+    sized = pages.select("slug", F.struct((-M.tokens(F.col("content"))).alias("k"), "ord").alias("p"))
+    # each task keeps its own best ones of a slug before they meet
+    best = sized.withColumn("_salt", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("slug", "_salt").orderBy("p"))).where(F.col("_r") <= most)
+    top = best.groupBy("slug").agg(F.slice(F.sort_array(F.collect_list("p")), 1, most).alias("ps"))
+    return top.select("slug", F.explode("ps").alias("p")).select("slug", "p.ord", (-F.col("p.k")).alias("tokens"))
 
 
 def lookup_cost(pages: DataFrame, local: DataFrame, world: DataFrame, query: str, max_lines: int = 3) -> DataFrame:
