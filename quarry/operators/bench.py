@@ -122,7 +122,7 @@ def judged(made: DataFrame, goldens: DataFrame, judge: Callable[[str, str], int
 
 def judge_label(judge: Column) -> Column:
     """T27"""
-    return F.coalesce(F.format_string("%.0f%%", judge * 100), F.lit("skipped"))
+    return F.when(judge.isNull(), "skipped").otherwise(F.format_string("%.0f%%", judge * 100))
 
 
 def report_lines(rows: DataFrame, full: DataFrame) -> DataFrame:
