@@ -48,7 +48,7 @@ from quarry.llm._text import Words, chunks, distinct, mix, shingles
 N = 3
 THRESHOLD = 0.6
 ORDERS = 3
-HOT_DF = 512
+HOT_DF = 64
 BLOCK = 4096
 MARKS = 4
 RANGE_BYTES = 4 << 20  # of text a token range
@@ -460,7 +460,9 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders:
 
     plain = docs.toDF(*names)
     known = plain.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema.fields] + [T.StructField("_set", T.LongType())]))
-    found = known.join(verdict, known[own].eqNullSafe(verdict["_d"]) & (known["_set"] == verdict["_s"]), "left")
-    single = found.where("_v is null").select(*names)
-    several = found.where("_v = 2").dropDuplicates([own, "_set"]).select(*names)  # repeated rows of a lead
+    on = lambda v: known[own].eqNullSafe(v["_d"]) & (known["_set"] == v["_s"])
+    # one plan at every size: the decisions grow with the corpus and are never broadcast
+    single = known.join(verdict.hint("merge"), on(verdict), "left_anti").select(*names)
+    again = verdict.where("_v = 2")  # leads that several rows repeat; rarely any
+    several = known.join(again, on(again), "left_semi").dropDuplicates([own, "_set"]).select(*names)
     return single.unionByName(several).toDF(*docs.columns)
