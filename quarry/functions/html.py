@@ -23,6 +23,9 @@ _DROPPED = frozenset(("script", "style", "template", "noscript"))
 _CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",))}
 
 
+DEPTH = 200  # elements nested deeper are siblings: no text is lost, and no page can exhaust the stack
+
+
 @dataclass
 class Node:
     tag: str
@@ -59,7 +62,7 @@ class _Tree(HTMLParser):
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
