@@ -9,7 +9,8 @@ the scaled Hessian's rows sum to 1, so a step of 1 is safe at every size. Only K
 
 The mixture takes floor(r) copies of a document and one more with chance r - floor(r), by a hash of its id and text.
 
-Defined results: null and empty texts count one token and have the prior as posterior; without labelled rows of two
+Defined results: null and empty texts count one token and have the prior as posterior; very long texts are read whole and weigh by their tokens; draws tied with a rate
+take no further copy; without labelled rows of two
 domains every rate is 1; a null doc_id is rated as any row; repeated rows have equal rates and draws; an empty
 table gives an empty table; a target of unknown domain is an error; extra columns pass ``mix`` unchanged.
 """

@@ -9,7 +9,7 @@ Search: the 64 bits are cut into ``radius + EXTRA`` blocks, and a pair within ``
 every pair in some bucket. Only distinct fingerprints enter the tables: thousands of copies are one
 row. The result is exact; no bucket is capped.
 
-Defined results: null, empty and wordless texts have no fingerprint and pair with nothing; repeated rows are
+Defined results: very long texts are fingerprinted whole; null, empty and wordless texts have no fingerprint and pair with nothing; repeated rows are
 each listed; rows of null doc_id count as any and appear as null; tied votes clear the bit; an empty table
 gives no rows; extra columns are ignored.
 """
@@ -114,10 +114,11 @@ def near(docs: DataFrame, radius: int = RADIUS, extra: int = EXTRA, n: int = N)
     masks = [sum((2 ** cuts[k + 1] - 2 ** cuts[k]) for k in chosen) for chosen in combinations(range(blocks), extra)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)]))
-    buckets = groups.select("fingerprint", keys.alias("k")).groupBy("k.t", "k.key").agg(F.collect_list("fingerprint").alias("fps")).where(F.size("fps") > 1)
-    a = buckets.select(F.explode("fps").alias("fp_a"), "fps").select("fp_a", F.explode("fps").alias("fp_b"))
+    keyed = groups.select("fingerprint", keys.alias("k")).select("k.t", "k.key", "fingerprint")
+    a, b = keyed.select("t", "key", F.col("fingerprint").alias("fp_a")), keyed.select("t", "key", F.col("fingerprint").alias("fp_b"))
     distance = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    pairs = a.where((F.col("fp_a") < F.col("fp_b")) & (distance <= radius)).distinct().withColumn("distance", distance)
+    # a join by bucket: no bucket is held by a row or a task, and adaptive execution splits hot ones
+    pairs = a.join(b.hint("merge"), ["t", "key"]).where((F.col("fp_a") < F.col("fp_b")) & (distance <= radius)).select("fp_a", "fp_b").distinct().withColumn("distance", distance)
     left, right = (groups.select(F.col("fingerprint").alias(f"fp_{s}"), F.col("doc_ids").alias(f"doc_ids_{s}")) for s in "ab")
     same = groups.where(F.size("doc_ids") > 1).select(F.col("fingerprint").alias("fp_a"), F.col("fingerprint").alias("fp_b"), F.lit(0).alias("distance"), F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"))
     return pairs.join(left, "fp_a").join(right, "fp_b").select("fp_a", "fp_b", "distance", "doc_ids_a", "doc_ids_b").unionByName(same)

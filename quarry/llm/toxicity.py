@@ -5,7 +5,7 @@ the driver from at most ``max_train_docs`` labelled rows: first on whole texts,
 words make a text toxic, on the window of each text that the model so far finds worst. A text is
 as toxic as the worst of its windows, which begin at every word.
 
-Defined results: null or empty text, or one without words, scores 0 and is kept; a null doc_id is scored
+Defined results: a score at the threshold (a tie) is toxic; of very long texts every window is scored; null or empty text, or one without words, scores 0 and is kept; a null doc_id is scored
 as any row; repeated rows are each scored alike; without labels of both classes nothing is rejected; an
 empty table gives an empty table; ``keep_clean`` passes extra columns through whatever their names.
 """
