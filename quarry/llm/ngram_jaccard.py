@@ -61,6 +61,15 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, and so on: small numbers leave planes of zeros, which the shuffle's compression removes."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _unplanes(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _pack(token: np.ndarray) -> bytes:
     """48-bit tokens as 6 bytes each: all high words, then all low ones."""
     return _bytes((token >> np.uint64(16)).astype(np.uint32)) + _bytes(token.astype(np.uint16))
@@ -170,7 +179,7 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 def _shared(posts: DataFrame, parts: int) -> DataFrame:
-    """Postings of tokens that occur again, a row a batch and token range; rows of ids pass."""
+    """Postings of tokens that occur again, a row a batch and token range, by place, of which the steps are given; rows of ids pass."""
     bounds, width = _bounds(parts), _width(parts)
 
     def run(key, rows):
@@ -205,7 +214,8 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
             ends = np.searchsorted(ref, np.arange(len(batch) + 1) << 16)
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 a, b = ends[k], ends[k + 1]
-                out.append((batch[k], _bytes(ref[a:b].astype(np.uint16)), _pack(token[a:b]), _bytes(df[a:b]), None, None))
+                steps = np.diff(ref[a:b] & 0xFFFF, prepend=0).astype(np.uint16)
+                out.append((batch[k], _planes(steps), _pack(token[a:b]), _planes(df[a:b]), None, None))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["batch", "places", "tokens", "df", "ids", "sizes"])
 
@@ -221,9 +231,9 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
             if own is not None:
                 ids, sizes = np.frombuffer(own, np.int64), np.frombuffer(size, np.uint32)
             else:
-                place.append(np.frombuffer(places, np.uint16))
+                place.append(np.cumsum(_unplanes(places, np.uint16), dtype=np.uint16))
                 token.append(_unpack(packed))
-                df.append(np.frombuffer(freq, np.uint32))
+                df.append(_unplanes(freq, np.uint32))
         out = []
         if place:
             place, token, df = (np.concatenate(x) for x in (place, token, df))
@@ -233,7 +243,7 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
             for a, b in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist(), strict=True):
                 s = int(sizes[place[a]])
                 if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
-                    out.append((int(ids[place[a]]), s, _pack(token[a:b]), _bytes(df[a:b])))
+                    out.append((int(ids[place[a]]), s, _pack(token[a:b]), _planes(df[a:b])))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["set_id", "size", "tokens", "df"])
 
@@ -279,7 +289,7 @@ def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
                 size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
-                texts = [(int(s), _unpack(t), np.frombuffer(f, np.uint32)) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
+                texts = [(int(s), _unpack(t), _unplanes(f, np.uint32)) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
                 rows = []
                 for order in range(orders):
                     got = []
@@ -299,7 +309,7 @@ def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df:
                         for p in np.flatnonzero(np.diff(ends)).tolist():
                             k = by[ends[p] : ends[p + 1]]
                             o = at_[row[k]]
-                            rows.append((order, p, some, _bytes(key[k]), _bytes(side[k]), _bytes(ids[o]), _bytes(sizes[o].astype(np.uint32)), _bytes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
+                            rows.append((order, p, some, _bytes(key[k]), _bytes(side[k]), _bytes(ids[o]), _planes(sizes[o].astype(np.uint32)), _planes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], ["ordering", "part", "hot", "token", "side", "ids", "sizes", "places", "marks"])
 
@@ -352,7 +362,8 @@ def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for b in batches:
             for c, kind in kinds.items():
-                held[c] += [np.frombuffer(x, kind) for x in b.column(c).to_pylist()]
+                read = _unplanes if kind is np.uint32 else np.frombuffer
+                held[c] += [read(x, kind) for x in b.column(c).to_pylist()]
         token, side, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
         for a, b in runs_to_pairs(token, side, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 << order, np.int32))], ["a", "b", "seen"])
