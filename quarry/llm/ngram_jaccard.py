@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._graph import components
-from quarry.llm._spark import checkpoint, discard
+from quarry.llm._spark import checkpoint, discard, release
 from quarry.llm._text import Words, chunks, distinct, mix, shingles
 
 N = 3
@@ -53,6 +53,7 @@ BLOCK = 4096
 MARKS = 4
 RANGE_BYTES = 4 << 20  # of text a token range
 CHUNK_TOKENS = 500_000  # of the sets of a chunk
+CHUNK_SETS = 1000  # of a chunk, so a block of two chunks has a million pairs at most, by and large
 FLUSH_TOKENS = 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,6 +121,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _set_of(b.column("text"), n)], ["doc_id", "set_id"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_id long")
@@ -134,25 +136,32 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
     names = ["part", "batch", "counts", "places", "tokens", "ids", "sizes"]
 
     def flush(batch, held):
-        token, place, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        token, place, ids, sizes = (np.concatenate([h.pop(0) for h in held]) for _ in range(4))
         _, first = np.unique(ids, return_index=True)  # of equal sets one is posted
         lead = np.zeros(len(ids), bool)
         lead[first] = True
         rank = (np.cumsum(lead) - 1).astype(np.int32)
-        keep = lead[place]
-        token, place = token[keep] >> np.uint64(16), rank[place[keep]]
-        ids, sizes = ids[lead], sizes[lead]
-        part = np.searchsorted(bounds, token, side="right") - 1
+        if not lead.all():
+            keep = lead[place]
+            token, place = token[keep], rank[place[keep]]
+            ids, sizes = ids[lead], sizes[lead]
+        place = place.astype(np.uint16)  # a batch has 65536 sets at most
+        token >>= np.uint64(16)
+        part = np.empty(len(token), np.uint16 if parts < 65536 else np.uint32)
+        for at in range(0, len(token), 65536):
+            part[at : at + 65536] = np.searchsorted(bounds, token[at : at + 65536], side="right") - 1
         order = np.argsort(part, kind="stable")  # by set within a range, as before
-        part, place = part[order], place[order]
-        offset = (token[order] - bounds[part]).view(np.uint8).reshape(-1, 8)[:, :width]
-        ends = np.searchsorted(part, np.arange(parts + 1))
+        token, place = token[order], place[order]
+        del order
+        ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        del part
         rows = [(batch % parts, batch, None, None, None, _bytes(ids), _bytes(sizes))]
         for p in np.flatnonzero(np.diff(ends)).tolist():
             a, b = ends[p], ends[p + 1]
             few = b - a < len(ids) // 2
             counts = None if few else np.bincount(place[a:b], minlength=len(ids))
-            rows.append((p, batch, None if few else _bytes(counts.astype(np.uint8)) + _bytes((counts >> 8).astype(np.uint32)), _bytes(place[a:b].astype(np.uint16)) if few else None, _bytes(offset[a:b]), None, None))
+            offset = (token[a:b] - bounds[p]).view(np.uint8).reshape(-1, 8)[:, :width]
+            rows.append((p, batch, None if few else _bytes(counts.astype(np.uint8)) + _bytes((counts >> 8).astype(np.uint32)), _bytes(place[a:b]) if few else None, _bytes(offset), None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names)
 
     def run(batches):
@@ -170,10 +179,12 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
                         yield flush(number, held)
                         held, tokens, sets = [], 0, 0
                         number += 1
-                    held.append((token, (owner + sets).astype(np.int32), own, size))
+                    held.append([token, (owner + sets).astype(np.int32), own, size])
                     tokens, sets = tokens + len(token), sets + len(own)
         if held:
             yield flush(number, held)
+        del held
+        release()
 
     return _texts(docs).mapInArrow(run, "part int, batch long, counts binary, places binary, tokens binary, ids binary, sizes binary")
 
@@ -199,16 +210,16 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
             token.append(wide.view(np.uint64).ravel())
             ref.append((len(batch) << 16) + place)
             batch.append(name)
-        rows = None
+        del rows
         if batch:
             token, ref = np.concatenate(token), np.concatenate(ref)
             order = np.argsort(token, kind="stable")
             token, ref = token[order], ref[order]
             begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            times = np.diff(np.append(begin, len(token)))
+            times = np.diff(np.append(begin, len(token))).astype(np.uint32)
             df = np.repeat(times, times)
             keep = df > 1
-            token, ref, df = token[keep] + bounds[key[0].as_py()], ref[keep], df[keep].astype(np.uint32)
+            token, ref, df = token[keep] + bounds[key[0].as_py()], ref[keep], df[keep]
             order = np.argsort(ref, kind="stable")
             token, ref, df = token[order], ref[order], df[order]
             ends = np.searchsorted(ref, np.arange(len(batch) + 1) << 16)
@@ -216,7 +227,9 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
                 a, b = ends[k], ends[k + 1]
                 steps = np.diff(ref[a:b] & 0xFFFF, prepend=0).astype(np.uint16)
                 out.append((batch[k], _planes(steps), _pack(token[a:b]), _planes(df[a:b]), None, None))
+            del token, ref, df, order, keep, times, begin
         columns = list(zip(*out, strict=True)) or [[]] * 6
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["batch", "places", "tokens", "df", "ids", "sizes"])
 
     return posts.groupBy("part").applyInArrow(run, "batch long, places binary, tokens binary, df binary, ids binary, sizes binary")
@@ -234,17 +247,23 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
                 place.append(np.cumsum(_unplanes(places, np.uint16), dtype=np.uint16))
                 token.append(_unpack(packed))
                 df.append(_unplanes(freq, np.uint32))
+        del rows
         out = []
         if place:
             place, token, df = (np.concatenate(x) for x in (place, token, df))
             order = np.lexsort((token, place))
-            place, token, df = place[order], token[order], df[order]
+            place = place[order]
+            token = token[order]
+            df = df[order]
+            del order
             begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             for a, b in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist(), strict=True):
                 s = int(sizes[place[a]])
                 if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
                     out.append((int(ids[place[a]]), s, _pack(token[a:b]), _planes(df[a:b])))
+        del place, token, df
         columns = list(zip(*out, strict=True)) or [[]] * 4
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["set_id", "size", "tokens", "df"])
 
     return shared.groupBy("batch").applyInArrow(run, "set_id long, size int, tokens binary, df binary")
@@ -312,6 +331,7 @@ def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df:
                             rows.append((order, p, some, _bytes(key[k]), _bytes(side[k]), _bytes(ids[o]), _planes(sizes[o].astype(np.uint32)), _planes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], ["ordering", "part", "hot", "token", "side", "ids", "sizes", "places", "marks"])
+        release()
 
     return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, side binary, ids binary, sizes binary, places binary, marks binary")
 
@@ -367,6 +387,8 @@ def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
         token, side, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
         for a, b in runs_to_pairs(token, side, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 << order, np.int32))], ["a", "b", "seen"])
+        del token, side, ids, sizes, places, mark
+        release()
 
     pairs = offers.groupBy("ordering", "part", "hot").applyInArrow(run, "a long, b long, seen int")
     return pairs.groupBy("a", "b").agg(F.bit_or("seen").alias("seen")).where(F.col("seen") == (1 << orders) - 1).select("a", "b")
@@ -375,20 +397,26 @@ def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
     """a, b, shared, jaccard of the similar ones among ``pairs``.
 
-    Sets of one neighbourhood (named by the least id among a set and its candidates) are dealt into chunks of about ``CHUNK_TOKENS``; the
+    Sets of one neighbourhood (named by the least id among a set and its candidates) are dealt into chunks of about ``CHUNK_TOKENS`` or ``CHUNK_SETS``; the
     pairs of two chunks are a block, and blocks go to tasks by a hash.
     """
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = {}
-        for k, size, packed in zip(sets.column("x").to_pylist(), sets.column("size").to_pylist(), sets.column("tokens").to_pylist(), strict=True):
-            known[k] = (size, _unpack(packed))
+        ids = sets.column("x").to_numpy()
+        by = np.argsort(ids)
+        sizes = sets.column("size").to_numpy()
+        tokens = sets.column("tokens").combine_chunks()
+        left_of, right_of = (by[np.searchsorted(ids[by], pairs.column(c).to_numpy())] for c in "ab")
         keep, shared, whole = [], [], []
-        for k, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
-            (sa, left), (sb, right) = known[a], known[b]
-            if min(len(left), len(right)) * (1 + threshold) < threshold * (sa + sb) - 1e-9:
+        last, left = -1, None
+        for k in np.argsort(left_of, kind="stable"):  # a set is unpacked when its pairs come, never all at once
+            i, j = left_of[k], right_of[k]
+            if i != last:
+                last, left = i, _unpack(tokens[i].as_buffer())
+            sa, sb, other = int(sizes[i]), int(sizes[j]), tokens[j].as_buffer()
+            if min(len(left), len(other) // 6) * (1 + threshold) < threshold * (sa + sb) - 1e-9:
                 continue
-            both = np.concatenate([left, right])
+            both = np.concatenate([left, _unpack(other)])
             both.sort(kind="stable")
             n = int(np.count_nonzero(both[1:] == both[:-1]))
             if n >= threshold * (sa + sb - n) - 1e-9:
@@ -396,12 +424,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -
                 shared.append(n)
                 whole.append(sa + sb - n)
         some = pairs.take(pa.array(keep, pa.int64()))
-        return pa.Table.from_arrays([some.column("a"), some.column("b"), pa.array(shared, pa.int64()), pa.array(np.array(shared, np.int64) / np.maximum(1, np.array(whole, np.int64)))], names=["a", "b", "shared", "jaccard"])
+        shared, whole = np.array(shared, np.int64), np.array(whole, np.int64)
+        release()
+        return pa.Table.from_arrays([some.column("a"), some.column("b"), pa.array(shared), pa.array(shared / np.maximum(1, whole))], names=["a", "b", "shared", "jaccard"])
 
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     near = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("near"))
     sized = near.join(sets.select(F.col("set_id").alias("x"), (F.length("tokens") / 6).alias("n")), "x")
-    chunks_of = sized.groupBy("near").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).alias("chunks"))
+    chunks_of = sized.groupBy("near").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_TOKENS, F.count(F.lit(1)) / CHUNK_SETS)).alias("chunks"))
     chunk = sized.join(chunks_of, "near").select("x", F.xxhash64("near", F.pmod(F.xxhash64("x"), "chunks")).alias("chunk"))
     count = pairs.count()
     tasks = max(parts, -(-count // 200_000))

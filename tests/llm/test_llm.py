@@ -603,6 +603,36 @@ def test_hot_tokens_lose_nothing(spark):
     assert found(ngram_jaccard.join(df, hot_df=5, block=11)) == want
 
 
+class Plan:
+    """Stands for a table, and gives the functions that would run over it."""
+
+    def select(self, *_):
+        return self
+
+    where = groupBy = select
+
+    def mapInArrow(self, run, _):
+        return run
+
+    applyInArrow = mapInArrow
+
+
+def test_jaccard_worker_memory(spark, monkeypatch):
+    """A task's Python holds about its batch: 2 million tokens of 8 bytes, not a multiple that adds up beside an executor's heap."""
+    import tracemalloc
+
+    monkeypatch.setattr(ngram_jaccard, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    texts = [" ".join(f"w{(k * 7919 + j * j) % 99991}" for j in range(1000)) for k in range(2100)]
+    run = ngram_jaccard._post(Plan(), 3, 600)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 600 and peak < 90e6, peak
+
+
 def test_one_row_of_a_class_stays_whatever_its_id(spark):
     same, other = "one text that several rows have in common here", "quite another text about some other thing altogether"
     rows = [(None, same), (None, same), (7, same), (7, same), (7, other), (None, other + " x y"), (9, "a text of its own that nothing is like at all"), (None, "null id alone with words of its own"), (None, "null id alone with words of its own")]
