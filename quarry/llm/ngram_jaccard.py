@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -501,9 +501,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders:
 
     plain = docs.toDF(*names)
     known = plain.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema.fields] + [T.StructField("_set", T.LongType())]))
-    on = lambda v: known[own].eqNullSafe(v["_d"]) & (known["_set"] == v["_s"])
-    # one plan at every size: the decisions grow with the corpus and are never broadcast
-    single = known.join(verdict.hint("merge"), on(verdict), "left_anti").select(*names)
-    again = verdict.where("_v = 2")  # leads that several rows repeat; rarely any
-    several = known.join(again, on(again), "left_semi").dropDuplicates([own, "_set"]).select(*names)
-    return single.unionByName(several).toDF(*docs.columns)
+    key = lambda c: [F.coalesce(c, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.isnull(c).alias("_none")]
+    on = ["_id", "_none", "_set"]
+    # one plan at every size: the decisions grow with the corpus and are never broadcast; texts are shuffled once, for the repeated leads too
+    told = known.select("*", *key(F.col(own))).join(verdict.select(*key(F.col("_d")), F.col("_s").alias("_set"), "_v").hint("merge"), on, "left").where("_v is null or _v = 2")
+    return told.withColumn("_k", F.row_number().over(Window.partitionBy(*on).orderBy(*on))).where("_v is null or _k = 1").select(*names).toDF(*docs.columns)

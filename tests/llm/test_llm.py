@@ -633,6 +633,12 @@ def test_jaccard_worker_memory(spark, monkeypatch):
     assert rows >= 600 and peak < 90e6, peak
 
 
+def test_keep_one_shuffles_texts_once(spark):
+    docs = spark.createDataFrame([(k, f"some words {k} of a text {k * k}") for k in range(50)], "doc_id long, text string")
+    plan = ngram_jaccard.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_one_row_of_a_class_stays_whatever_its_id(spark):
     same, other = "one text that several rows have in common here", "quite another text about some other thing altogether"
     rows = [(None, same), (None, same), (7, same), (7, same), (7, other), (None, other + " x y"), (9, "a text of its own that nothing is like at all"), (None, "null id alone with words of its own"), (None, "null id alone with words of its own")]
