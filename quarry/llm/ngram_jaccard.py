@@ -9,7 +9,7 @@ alone can't be shared; it only uses up prefix, which leaves most unrelated docum
 prefix token to look up.
 
 Tokens are 48-bit hashes and travel as binary columns, a row a batch of texts and token range, not as a row each; the number of
-ranges grows with the corpus, so a task's memory doesn't. A token costs the bytes in which it differs within its range and
+ranges grows with the corpus, so a task's memory doesn't. A token costs the bits in which it differs within its range and
 a share of its batch's counts; which batch a set is in takes the place of its id, so ``docs`` must be a scan or some other plan that gives a task's rows
 again in the same order. Documents of one set are one set from there on, named by 64 bits that its tokens give (of n sets two are
 confused with a chance of n^2 / 2^65; two tokens of a pair of sets of s tokens with s^2 / 2^48); frequencies count a set once a batch.
@@ -87,8 +87,26 @@ def _bounds(parts: int) -> np.ndarray:
 
 
 def _width(parts: int) -> int:
-    """Bytes of a token's offset in its range."""
-    return (((1 << 48) // parts + 1).bit_length() + 7) // 8
+    """Bits of a token's offset in its range."""
+    return ((1 << 48) // parts + 1).bit_length()
+
+
+def _squeeze(a: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits: their whole bytes number by number, then the bits above these."""
+    whole, rest = divmod(bits, 8)
+    cells = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)
+    return _bytes(cells[:, :whole]) + (_bytes(np.packbits(np.unpackbits(cells[:, whole, None], axis=1)[:, 8 - rest :])) if rest else b"")
+
+
+def _unsqueeze(packed: bytes, n: int, bits: int) -> np.ndarray:
+    whole, rest = divmod(bits, 8)
+    cells = np.zeros((n, 8), np.uint8)
+    cells[:, :whole] = np.frombuffer(packed, np.uint8, n * whole).reshape(n, whole)
+    if rest:
+        above = np.zeros((n, 8), np.uint8)
+        above[:, 8 - rest :] = np.unpackbits(np.frombuffer(packed, np.uint8, offset=n * whole), count=n * rest).reshape(n, rest)
+        cells[:, whole] = np.packbits(above, axis=1)[:, 0]
+    return cells.view(np.uint64).ravel()
 
 
 def _set_ids(token: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +146,13 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """A row a batch and token range: how many of its tokens each of the batch's sets has (or, if these are few, which set each is of), and the tokens by set.
+    """A row a batch and token range: how many of its tokens each of the batch's sets has (or, if these are few, which set each is of), and the tokens by set;
+    and which sets' ids fall in the range, so that those of several batches are seen there.
 
     One row more a batch has the ids and sizes of its sets.
     """
     bounds, width = _bounds(parts), _width(parts)
-    names = ["part", "batch", "counts", "places", "tokens", "ids", "sizes"]
+    names = ["part", "batch", "counts", "places", "tokens", "own", "ranks", "ids", "sizes"]
 
     def flush(batch, held):
         token, place, ids, sizes = (np.concatenate([h.pop(0) for h in held]) for _ in range(4))
@@ -155,14 +174,18 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
         del order
         ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
         del part
-        rows = [(batch % parts, batch, None, None, None, _bytes(ids), _bytes(sizes))]
-        for p in np.flatnonzero(np.diff(ends)).tolist():
+        home = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rank = np.argsort(home, kind="stable")
+        homes = np.append(0, np.cumsum(np.bincount(home, minlength=parts)))
+        rows = [(batch % parts, batch, None, None, None, None, None, _bytes(ids), _bytes(sizes))]
+        for p in np.flatnonzero(np.diff(ends) + np.diff(homes)).tolist():
+            here = rank[homes[p] : homes[p + 1]]
             a, b = ends[p], ends[p + 1]
             few = b - a < len(ids) // 2
             counts = None if few else np.bincount(place[a:b], minlength=len(ids))
-            offset = (token[a:b] - bounds[p]).view(np.uint8).reshape(-1, 8)[:, :width]
-            rows.append((p, batch, None if few else _bytes(counts.astype(np.uint8)) + _bytes((counts >> 8).astype(np.uint32)), _bytes(place[a:b]) if few else None, _bytes(offset), None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names)
+            own = (_bytes(ids[here]), _bytes(here.astype(np.uint16))) if len(here) else (None, None)
+            rows.append((p, batch, None if few else _bytes(counts.astype(np.uint8)) + _bytes((counts >> 8).astype(np.uint32)), _bytes(place[a:b]) if few else None, _squeeze(token[a:b] - bounds[p], width), *own, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 7), strict=True)], names)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -186,28 +209,32 @@ def _post(docs: DataFrame, n: int, parts: int) -> DataFrame:
         del held
         release()
 
-    return _texts(docs).mapInArrow(run, "part int, batch long, counts binary, places binary, tokens binary, ids binary, sizes binary")
+    return _texts(docs).mapInArrow(run, "part int, batch long, counts binary, places binary, tokens binary, own binary, ranks binary, ids binary, sizes binary")
 
 
 def _shared(posts: DataFrame, parts: int) -> DataFrame:
-    """Postings of tokens that occur again, a row a batch and token range, by place, of which the steps are given; rows of ids pass."""
-    bounds, width = _bounds(parts), _width(parts)
+    """Postings of tokens that occur again, a row a batch and token range, by place, of which the steps are given; rows of ids pass.
+
+    ``drops``: the places in a batch of sets that a batch of lower number has too.
+    """
+    width = _width(parts)
 
     def run(key, rows):
-        out, batch, token, ref = [], [], [], []
-        for name, counts, places, packed, ids, sizes in zip(*(rows.column(c).to_pylist() for c in ("batch", "counts", "places", "tokens", "ids", "sizes")), strict=True):
+        out, batch, token, ref, ids_of, at_of = [], [], [], [], [], []
+        for name, counts, places, packed, own, ranks, ids, sizes in zip(*(rows.column(c).to_pylist() for c in ("batch", "counts", "places", "tokens", "own", "ranks", "ids", "sizes")), strict=True):
             if ids is not None:
-                out.append((name, None, None, None, ids, sizes))
+                out.append((name, None, None, None, None, ids, sizes, None))
                 continue
+            if own is not None:
+                ids_of.append(np.frombuffer(own, np.int64))
+                at_of.append((len(batch) << 16) + np.frombuffer(ranks, np.uint16).astype(np.int64))
             if counts is not None:
                 k = len(counts) // 5
                 times = np.frombuffer(counts, np.uint8, k).astype(np.int64) + (np.frombuffer(counts, np.uint32, k, k).astype(np.int64) << 8)
                 place = np.repeat(np.arange(k), times)
             else:
                 place = np.frombuffer(places, np.uint16).astype(np.int64)
-            wide = np.zeros((len(packed) // width, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
-            token.append(wide.view(np.uint64).ravel())
+            token.append(_unsqueeze(packed, len(place), width))
             ref.append((len(batch) << 16) + place)
             batch.append(name)
         del rows
@@ -219,33 +246,43 @@ def _shared(posts: DataFrame, parts: int) -> DataFrame:
             times = np.diff(np.append(begin, len(token))).astype(np.uint32)
             df = np.repeat(times, times)
             keep = df > 1
-            token, ref, df = token[keep] + bounds[key[0].as_py()], ref[keep], df[keep]
+            token, ref, df = token[keep], ref[keep], df[keep]
             order = np.argsort(ref, kind="stable")
             token, ref, df = token[order], ref[order], df[order]
             ends = np.searchsorted(ref, np.arange(len(batch) + 1) << 16)
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 a, b = ends[k], ends[k + 1]
                 steps = np.diff(ref[a:b] & 0xFFFF, prepend=0).astype(np.uint16)
-                out.append((batch[k], _planes(steps), _pack(token[a:b]), _planes(df[a:b]), None, None))
+                out.append((batch[k], key[0].as_py(), _planes(steps), _squeeze(token[a:b], width), _planes(df[a:b]), None, None, None))
             del token, ref, df, order, keep, times, begin
-        columns = list(zip(*out, strict=True)) or [[]] * 6
+        if ids_of:
+            own, at = np.concatenate(ids_of), np.concatenate(at_of)
+            by = np.lexsort((np.array(batch)[at >> 16], own))
+            again = np.sort(at[by[1:]][own[by[1:]] == own[by[:-1]]])
+            ends = np.searchsorted(again, np.arange(len(batch) + 1) << 16)
+            out += [(batch[k], None, None, None, None, None, None, _bytes(again[ends[k] : ends[k + 1]].astype(np.uint16))) for k in np.flatnonzero(np.diff(ends)).tolist()]
+        columns = list(zip(*out, strict=True)) or [[]] * 8
         release()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["batch", "places", "tokens", "df", "ids", "sizes"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)], names=["batch", "part", "places", "tokens", "df", "ids", "sizes", "drops"])
 
-    return posts.groupBy("part").applyInArrow(run, "batch long, places binary, tokens binary, df binary, ids binary, sizes binary")
+    return posts.groupBy("part").applyInArrow(run, "batch long, part int, places binary, tokens binary, df binary, ids binary, sizes binary, drops binary")
 
 
-def _sets(shared: DataFrame, threshold: float) -> DataFrame:
-    """Sets that can have a partner, once a batch: size, tokens that occur again (sorted, 6 bytes each) and their frequencies."""
+def _sets(shared: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Sets that can have a partner, each once: size, tokens that occur again (sorted, 6 bytes each) and their frequencies."""
+    bounds, width = _bounds(parts), _width(parts)
 
     def run(_, rows):
         place, token, df, ids, sizes = [], [], [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        for places, packed, freq, own, size in zip(*(rows.column(c).to_pylist() for c in ("places", "tokens", "df", "ids", "sizes")), strict=True):
+        dropped = np.zeros(65536, bool)
+        for part, places, packed, freq, own, size, drops in zip(*(rows.column(c).to_pylist() for c in ("part", "places", "tokens", "df", "ids", "sizes", "drops")), strict=True):
             if own is not None:
                 ids, sizes = np.frombuffer(own, np.int64), np.frombuffer(size, np.uint32)
+            elif drops is not None:
+                dropped[np.frombuffer(drops, np.uint16)] = True
             else:
                 place.append(np.cumsum(_unplanes(places, np.uint16), dtype=np.uint16))
-                token.append(_unpack(packed))
+                token.append(_unsqueeze(packed, len(places) // 2, width) + bounds[part])
                 df.append(_unplanes(freq, np.uint32))
         del rows
         out = []
@@ -259,7 +296,7 @@ def _sets(shared: DataFrame, threshold: float) -> DataFrame:
             begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             for a, b in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist(), strict=True):
                 s = int(sizes[place[a]])
-                if s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
+                if not dropped[place[a]] and s - (b - a) < s - int(np.ceil(threshold * s - 1e-9)) + 1:
                     out.append((int(ids[place[a]]), s, _pack(token[a:b]), _planes(df[a:b])))
         del place, token, df
         columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -301,13 +338,13 @@ def meetings(token: np.ndarray, df: np.ndarray, ids: np.ndarray, block: int) ->
 
 
 def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df: int, block: int) -> DataFrame:
-    """A row a batch, order, token range, and hot tokens or others; only hot ones have marks."""
+    """A row a batch, order, token range, and hot tokens or others; only hot ones have marks. Sets go by their numbers, of which the steps are given."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
-                size, rep = b.column("size").to_numpy(), b.column("set_id").to_numpy()
+                size, rep = b.column("size").to_numpy(), b.column("number").to_numpy()
                 texts = [(int(s), _unpack(t), _unplanes(f, np.uint32)) for s, t, f in zip(size, b.column("tokens").to_pylist(), b.column("df").to_pylist(), strict=True)]
                 rows = []
                 for order in range(orders):
@@ -328,12 +365,12 @@ def _offers(sets: DataFrame, threshold: float, orders: int, parts: int, hot_df:
                         for p in np.flatnonzero(np.diff(ends)).tolist():
                             k = by[ends[p] : ends[p + 1]]
                             o = at_[row[k]]
-                            rows.append((order, p, some, _bytes(key[k]), _bytes(side[k]), _bytes(ids[o]), _planes(sizes[o].astype(np.uint32)), _planes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
+                            rows.append((order, p, some, _planes(key[k]), _bytes(side[k]), _planes(np.diff(ids[o], prepend=0)), _planes(sizes[o].astype(np.uint32)), _planes(place[o].astype(np.uint32)), _bytes(mark[row[k]]) if some else b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], ["ordering", "part", "hot", "token", "side", "ids", "sizes", "places", "marks"])
         release()
 
-    return sets.select("set_id", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, side binary, ids binary, sizes binary, places binary, marks binary")
+    return sets.select("number", "size", "tokens", "df").mapInArrow(run, "ordering int, part int, hot boolean, token binary, side binary, ids binary, sizes binary, places binary, marks binary")
 
 
 def runs_to_pairs(token: np.ndarray, side: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, mark: np.ndarray, threshold: float, most: int = 1_000_000):
@@ -382,8 +419,8 @@ def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for b in batches:
             for c, kind in kinds.items():
-                read = _unplanes if kind is np.uint32 else np.frombuffer
-                held[c] += [read(x, kind) for x in b.column(c).to_pylist()]
+                read = np.frombuffer if c in ("side", "marks") else _unplanes
+                held[c] += [np.cumsum(read(x, kind)) if c == "ids" else read(x, kind) for x in b.column(c).to_pylist()]
         token, side, ids, sizes, places, mark = (np.concatenate(held.pop(c)) for c in kinds)
         for a, b in runs_to_pairs(token, side, ids, sizes, places, mark.reshape(-1, MARKS), threshold):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 << order, np.int32))], ["a", "b", "seen"])
@@ -395,7 +432,7 @@ def _candidates(offers: DataFrame, threshold: float, orders: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """a, b, shared, jaccard of the similar ones among ``pairs``.
+    """a, b (set ids), shared, jaccard of the similar ones among ``pairs`` (of sets' numbers).
 
     Sets of one neighbourhood (named by the least id among a set and its candidates) are dealt into chunks of about ``CHUNK_TOKENS`` or ``CHUNK_SETS``; the
     pairs of two chunks are a block, and blocks go to tasks by a hash.
@@ -423,14 +460,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -
                 keep.append(k)
                 shared.append(n)
                 whole.append(sa + sb - n)
-        some = pairs.take(pa.array(keep, pa.int64()))
+        left, right = (sets.column("set_id").to_numpy()[x[np.array(keep, np.int64)]] for x in (left_of, right_of))
         shared, whole = np.array(shared, np.int64), np.array(whole, np.int64)
         release()
-        return pa.Table.from_arrays([some.column("a"), some.column("b"), pa.array(shared), pa.array(shared / np.maximum(1, whole))], names=["a", "b", "shared", "jaccard"])
+        return pa.Table.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(shared), pa.array(shared / np.maximum(1, whole))], names=["a", "b", "shared", "jaccard"])
 
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     near = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("near"))
-    sized = near.join(sets.select(F.col("set_id").alias("x"), (F.length("tokens") / 6).alias("n")), "x")
+    sized = near.join(sets.select(F.col("number").alias("x"), (F.length("tokens") / 6).alias("n")), "x")
     chunks_of = sized.groupBy("near").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_TOKENS, F.count(F.lit(1)) / CHUNK_SETS)).alias("chunks"))
     chunk = sized.join(chunks_of, "near").select("x", F.xxhash64("near", F.pmod(F.xxhash64("x"), "chunks")).alias("chunk"))
     count = pairs.count()
@@ -439,7 +476,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -
     placed = pairs.join(left, "a").join(right, "b").select("a", "b", F.pmod(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")), F.lit(tasks)).cast("int").alias("block"))
     placed = checkpoint(placed)
     wanted = placed.select(F.col("a").alias("x"), F.col("block").alias("task")).union(placed.select("b", "block")).distinct()
-    shipped = wanted.join(sets.select(F.col("set_id").alias("x"), "size", "tokens"), "x")
+    shipped = wanted.join(sets.select(F.col("number").alias("x"), "set_id", "size", "tokens"), "x")
     out = checkpoint(placed.groupBy("block").cogroup(shipped.groupBy("task")).applyInArrow(run, "a long, b long, shared long, jaccard double"))
     discard(placed)
     return out
@@ -450,9 +487,9 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: i
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    found = checkpoint(_sets(_shared(_post(docs, n, parts), parts), threshold))
-    sets = checkpoint(found.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "tokens", "df")]))
-    discard(found)
+    shared = checkpoint(_shared(_post(docs, n, parts), parts))  # the postings' shuffle files go before the next ones come
+    sets = checkpoint(_sets(shared, threshold, parts).withColumn("number", F.monotonically_increasing_id()))  # small numbers, which compress
+    discard(shared)
     pairs = checkpoint(_candidates(_offers(sets, threshold, orders, parts, hot_df, block), threshold, orders))
     out = _verified(pairs, sets, threshold, parts)
     discard(pairs, sets)

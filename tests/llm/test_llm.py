@@ -633,6 +633,25 @@ def test_jaccard_worker_memory(spark, monkeypatch):
     assert rows >= 600 and peak < 90e6, peak
 
 
+def test_jaccard_postings_cost_their_bits(spark, monkeypatch):
+    """A token's offset in one of 195 ranges is 41 bits, not 6 bytes, and reads back as it was."""
+    monkeypatch.setattr(ngram_jaccard, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    texts = [" ".join(f"w{k}x{j}" for j in range(1002)) for k in range(40)]
+    (b,) = ngram_jaccard._post(Plan(), 3, 195)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])
+    assert sum(len(x or b"") for x in b.column("tokens").to_pylist()) < 40_000 * 41 / 8 + 195
+    for bits in (31, 32, 41, 47):
+        for n in (0, 1, 9, 100):
+            x = np.random.default_rng(n).integers(0, 1 << bits, n, dtype=np.uint64)
+            assert (ngram_jaccard._unsqueeze(ngram_jaccard._squeeze(x, bits), n, bits) == x).all()
+
+
+def test_sets_of_several_batches_are_told_once(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 4)], "doc_id long, text string")
+    sets = ngram_jaccard._sets(ngram_jaccard._shared(ngram_jaccard._post(docs, 3, 4), 4), 0.6, 4).collect()
+    assert docs.rdd.getNumPartitions() > 1 and len(sets) == len({r.set_id for r in sets}) == 20
+
+
 def test_keep_one_shuffles_texts_once(spark):
     docs = spark.createDataFrame([(k, f"some words {k} of a text {k * k}") for k in range(50)], "doc_id long, text string")
     plan = ngram_jaccard.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString()
