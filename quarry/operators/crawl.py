@@ -63,13 +63,14 @@ def first_per_file(urls: DataFrame, order: list[Column]) -> DataFrame:
     return urls.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def crawl(links: DataFrame | Callable[[DataFrame], DataFrame], start: str, prefix: str = "", max_depth: int = 4, max_pages: int = 200, bridge_hops: int = 1, cap_mode: str = "intent") -> DataFrame:
+def crawl(links: DataFrame | Callable[[DataFrame], DataFrame], start: str, prefix: str = "", max_depth: int = 4, max_pages: int | None = 200, bridge_hops: int = 1, cap_mode: str = "intent") -> DataFrame:
     """Url, depth, budget, saved, wave of every page reached.
 
     ``links``: src, pos, dst, of all pages, or a function that fetches a wave (a column url, ``max_pages`` rows at most) and gives its links. A page at ``max_depth`` gives no links. Links under ``prefix`` go one deeper and renew the
     budget; others use it up at the same depth. A file is claimed by its first discovery, in order of the
     parent and the place of the link, links under the prefix first. ``cap_mode``: 'intent' admits ``max_pages``
     pages; 'reference' counts each new link of a wave twice and leaves out a wave that fills the cap exactly.
+    ``max_pages`` None admits every page that the depth reaches; a wave is then ranked by all tasks.
     """
     spark = SparkSession.getActiveSession() if not isinstance(links, DataFrame) else links.sparkSession
     pre = F.lit(prefix)
@@ -78,8 +79,10 @@ def crawl(links: DataFrame | Callable[[DataFrame], DataFrame], start: str, prefi
     links_of = _every(links) if isinstance(links, DataFrame) else links
     wave, count = 0, 1
     while True:
-        room = max_pages - count
-        if cap_mode == "reference":
+        room = None if max_pages is None else max_pages - count
+        if room is None:
+            pass
+        elif cap_mode == "reference":
             if room <= 0:
                 seen = seen.where(F.col("wave") < wave) if wave else seen.where("false")
                 break
@@ -94,8 +97,12 @@ def crawl(links: DataFrame | Callable[[DataFrame], DataFrame], start: str, prefi
         found = found.select("url", "o", "pos", inside.alias("inside"), F.when(inside, F.col("d") + 1).otherwise(F.col("d")).alias("depth"), F.when(inside, bridge_hops).otherwise(F.col("b") - 1).alias("budget"), U.file_key(F.col("url")).alias("file_key")).where("inside or budget >= 0")
         new = found.join(seen.select("file_key"), "file_key", "left_anti").join(seen.select("url"), "url", "left_anti")
         new = first_per_file(new, [F.col("o"), F.col("pos"), F.col("url")])
-        some = new.orderBy(F.col("inside").desc(), "o", "pos", "url").limit(room)  # each task keeps its first ``room``, then one merges them
-        ranked = some.withColumn("ord", F.row_number().over(Window.orderBy(F.col("inside").desc(), "o", "pos", "url")).cast("long"))
+        some = new.orderBy(F.col("inside").desc(), "o", "pos", "url")
+        if room is None:
+            ranked = some.withColumn("ord", F.monotonically_increasing_id())  # partitions are in order, so ids are; they have gaps
+        else:
+            some = some.limit(room)  # each task keeps its first ``room``, then one merges them
+            ranked = some.withColumn("ord", F.row_number().over(Window.orderBy(F.col("inside").desc(), "o", "pos", "url")).cast("long"))
         wave += 1
         new = _cut(ranked.select("url", "depth", "budget", F.lit(wave).alias("wave"), "ord", "file_key"))
         n = new.count()

@@ -344,3 +344,14 @@ def test_queries_match_sql(spark, name):
     cols, want = list(rows.columns), rows.fetchall()
     got = [tuple(r[c] for c in cols) for r in QUERIES[name](spark, d).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_crawl_without_cap_admits_all(spark, monkeypatch):
+    edges = [("/docs/", f"/docs/{k:03d}") for k in range(300)] + [("/docs/007", "/docs/x"), ("/docs/003", "/docs/x/"), ("/docs/x", "/docs/no"), ("/docs/x/", "/docs/y")]
+    got = {r.url.removeprefix("https://g.io"): r.depth for r in crawl.crawl(links(spark, edges), "https://g.io/docs/", "/docs/", max_pages=None).collect()}
+    assert got == {"/docs/": 0} | {f"/docs/{k:03d}": 1 for k in range(300)} | {"/docs/x/": 2, "/docs/y": 3}  # page 003 claims the file of x
+    caps = []
+    monkeypatch.setattr(crawl, "crawl", lambda links, *a, **k: caps.append(k["max_pages"]) or links.selectExpr("src url", "0 depth"))
+    for name in ("crawl_bfs", "crawl_waves"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert caps == [None, None]
