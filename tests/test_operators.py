@@ -355,3 +355,18 @@ def test_crawl_without_cap_admits_all(spark, monkeypatch):
     for name in ("crawl_bfs", "crawl_waves"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert caps == [None, None]
+
+
+def test_append_new_makes_no_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("aß", k=n))
+    old = [word(rng.randrange(1, 60)) for _ in range(60)] + ["same beginning " + str(k) for k in range(300)]
+    new = [o[i : i + n] + t for o in old[:60] for i in [rng.randrange(len(o))] for n in (1, 3, 7, 15, 40) for t in ("", "a")] + ["same beginning x" + str(k) for k in range(300)] + ["same beginning 1", "", old[0]]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "line string")
+    for sizes in ({"width": 4, "most": 8}, {}, {"width": 1, "most": 1}):
+        got = store.append_new(frame(old), frame(new), **sizes)
+        assert sorted(r.line for r in got.collect()) == sorted({n for n in new if n and not any(n in o for o in old)})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan and "contains(" not in plan.lower()
