@@ -370,3 +370,17 @@ def test_append_new_makes_no_pairs(spark):
         assert sorted(r.line for r in got.collect()) == sorted({n for n in new if n and not any(n in o for o in old)})
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" not in plan and "contains(" not in plan.lower()
+
+
+@pytest.mark.parametrize("name", ["dense_docs", "expand_docs", "text_doc_gate"])
+def test_odd_texts_match_sql(spark, tmp_path, name):
+    import duckdb
+
+    texts = [None, "", " ", "***", " \n\t", "  led by spaces\n\n\nand, more  ", "\n\nx", "é́ ½ Ⅷ \xa0 %", "%%%%a", "plain, text.\n\nmore"]
+    rows = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(texts)] + [(90, "no source", "en", None, 9), (91, "no language", None, "src1", 11)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    cols = list(want.columns)
+    assert sorted(str(tuple(r[c] for c in cols)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(str, want.fetchall()))
