@@ -127,7 +127,8 @@ def ladder(targets: DataFrame, raw: DataFrame, twin: DataFrame, page: DataFrame)
 
 def site_report(pages: DataFrame) -> DataFrame:
     """The acquisition report: per site, the pages that a crawl keeps and their tokens."""
-    kept = pages.select("url", "html", U.path(F.col("url")).alias("path")).where(~F.col("path").rlike(U.LOCALE) & ~F.col("path").rlike(U.ASSET + "$"))
-    kept = kept.select(F.col("url"), F.concat(U.slug(U.authority(F.col("url"))), F.lit("")).alias("slug"), U.file_key(F.col("url")).alias("file_key"), F.floor(F.length("html") / 4).cast("long").alias("tokens"))
-    first = kept.groupBy("slug", "file_key").agg(F.min_by("tokens", "url").alias("tokens"))  # the first URL by name: no window, so it combines before the shuffle
+    place = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
+    kept = pages.select("url", "html", place.alias("place"), U.path(F.col("url")).alias("path")).where(~F.col("path").rlike(U.LOCALE) & ~F.col("path").rlike(U.ASSET + "$"))
+    kept = kept.select("url", "place", F.concat(U.slug(U.authority(F.col("url"))), F.lit("")).alias("slug"), U.file_key(F.col("url")).alias("file_key"), F.floor(F.length("html") / 4).cast("long").alias("tokens"))
+    first = kept.groupBy("slug", "file_key").agg(F.min_by("tokens", F.struct("url", "place", "tokens")).alias("tokens"))  # the first URL by name, its first page: no window, so it combines before the shuffle
     return first.groupBy("slug").agg(F.count(F.lit(1)).alias("pages"), F.sum("tokens").alias("raw_tokens"))

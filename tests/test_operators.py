@@ -384,3 +384,12 @@ def test_odd_texts_match_sql(spark, tmp_path, name):
     want = con.sql(ORACLES[name])
     cols = list(want.columns)
     assert sorted(str(tuple(r[c] for c in cols)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(map(str, want.fetchall()))
+
+
+def test_repeated_urls_have_one_answer(spark, tmp_path):
+    """Pages that share a URL tie in the SQL, too; here the first page and the least segment win, in whatever order they come."""
+    pages = [(k, "https://h.io/a", f'<a href="/{s}/x">' + "y" * 40 * k) for k, s in ((1, "m"), (2, "c"), (3, "z"))]
+    for n, rows in enumerate((pages, pages[::-1], pages[1:] + pages[:1])):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        assert [r.segment for r in QUERIES["dominant_segment"](spark, f"{tmp_path}/{n}").collect()] == ["c"]
+        assert [(r.pages, r.raw_tokens) for r in QUERIES["site_report"](spark, f"{tmp_path}/{n}").collect()] == [(1, len(pages[0][2]) // 4)]
